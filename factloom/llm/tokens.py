@@ -50,7 +50,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, code, folded
 
 
-_WORD, _CODE, _FOLDED = _tables()
+WORD, _CODE, _FOLDED = _tables()
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -72,7 +72,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
     if texts.null_count:
@@ -86,9 +86,9 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: pa.Array, whitespace: bool = False, fold: bool = True) -> Words:
     """Words of an Arrow string array; null is as an empty text. ``whitespace``: split at ASCII white space only."""
-    raw, offsets = _buffer(texts)
+    raw, offsets = buffer(texts)
     _grow(len(raw) + 1)
-    inside = ~_SPACE[raw] if whitespace else _WORD[raw]
+    inside = ~_SPACE[raw] if whitespace else WORD[raw]
     flips = np.empty(len(raw) + 1, dtype=bool)
     flips[0], flips[-1] = (bool(inside[0]), bool(inside[-1])) if len(raw) else (False, False)
     np.not_equal(inside[1:], inside[:-1], out=flips[1:-1])
@@ -113,7 +113,7 @@ def words(texts: pa.Array, whitespace: bool = False, fold: bool = True) -> Words
 
 def slices(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges ``(from, to)`` of an array whose texts hold about ``most`` bytes together; a longer text stands alone."""
-    _, offsets = _buffer(texts)
+    _, offsets = buffer(texts)
     at, n = 0, len(texts)
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
