@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontam, ngram_join, quality, suffixes
+from factloom.llm import decontam, mixing, ngram_join, quality, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,15 @@ _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_pareto_mixing": """
+WITH base AS (SELECT doc_id, source, coalesce(ceil(sqrt(n_chars::DOUBLE)), 0)::BIGINT AS m FROM documents),
+s AS (SELECT source, count(*) AS documents, sum(m)::BIGINT AS total, floor(1000 * pow(count(*)::DOUBLE, 0.5))::BIGINT AS weight FROM base GROUP BY source),
+r AS (SELECT source, total, (sum(documents) OVER ())::BIGINT AS copies, (sum(weight) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, (sum(weight) OVER ())::BIGINT AS everything FROM s),
+d AS (SELECT source, total, (copies * upto) // everything - coalesce(lag((copies * upto) // everything) OVER (ORDER BY source NULLS FIRST), 0) AS due FROM r),
+e AS (SELECT base.doc_id, base.source, due, due::DOUBLE * m::DOUBLE / total::DOUBLE AS x, (('0x' || substring(md5(coalesce(base.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM base JOIN d ON base.source IS NOT DISTINCT FROM d.source WHERE total > 0 AND due > 0),
+f AS (SELECT *, floor(x)::BIGINT AS certain, x - floor(x) AS p FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) * (1 - p) / p ELSE 'inf'::DOUBLE END, doc_id) AS place, due - sum(certain) OVER (PARTITION BY source) AS room FROM f)
+SELECT doc_id, source, certain, (place <= room)::BIGINT AS drawn, certain + (place <= room)::BIGINT AS copies FROM o WHERE certain + (place <= room)::BIGINT > 0""",
         "op3_ngram_jaccard": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),
