@@ -1,19 +1,49 @@
-"""A training corpus from ``documents``, in stages."""
+"""A training corpus from ``documents``, in stages.
+
+Each stage takes the documents that the one before it kept, and works on all of them. What a stage keeps has the columns of its input;
+the last one adds the number of copies.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ngram_join
+from factloom.llm import decontam, mixing, ngram_join, quality, suffixes
 from factloom.llm.shared import written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return ngram_join.one_of_each_group(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in several documents stay in one of them only."""
+    return suffixes.without_copies(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture draws, with ``copies``; ``doc_id`` and ``source`` as they are, no texts."""
+    return mixing.mixed(docs).select("doc_id", "source", "copies")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: The classifier is trained, which SQL can't express.
 ORACLE_SQL = None
