@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import decontam, mixing, ngram_join, quality, suffixes
+from factloom.llm import decontam, fingerprints, mixing, ngram_join, quality, suffixes, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = fingerprints.version_changes(table(spark, sf_dir, "documents"))
+    return changes.withColumns({c: F.array_join(F.transform(c, lambda d: d.cast("string")), ",") for c in ("added", "removed")})
+
+
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +35,10 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -52,6 +62,15 @@ e AS (SELECT base.doc_id, base.source, due, due::DOUBLE * m::DOUBLE / total::DOU
 f AS (SELECT *, floor(x)::BIGINT AS certain, x - floor(x) AS p FROM e),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) * (1 - p) / p ELSE 'inf'::DOUBLE END, doc_id) AS place, due - sum(certain) OVER (PARTITION BY source) AS room FROM f)
 SELECT doc_id, source, certain, (place <= room)::BIGINT AS drawn, certain + (place <= room)::BIGINT AS copies FROM o WHERE certain + (place <= room)::BIGINT > 0""",
+        "op1_iblt_fingerprints": f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, trim(unnest(ls), ' ') AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+o AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, p ORDER BY k) AS again FROM l WHERE p <> ''),
+d AS (SELECT doc_id, p, again, ('0x' || substring(md5(CASE WHEN again = 1 THEN p ELSE p || chr(10) || again::VARCHAR END), 1, 15))::BIGINT AS digest FROM o),
+a AS (SELECT documents.doc_id, coalesce(list(digest ORDER BY digest) FILTER (WHERE digest IS NOT NULL), []) AS ds, min(digest) FILTER (WHERE again = 1 AND length(p) >= {fingerprints.ANCHOR_CHARS}) AS anchor FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id GROUP BY documents.doc_id),
+v AS (SELECT doc_id, ds, CASE WHEN anchor IS NOT NULL THEN lag(doc_id) OVER w END AS version_of, lag(ds) OVER w AS before FROM a WINDOW w AS (PARTITION BY anchor ORDER BY doc_id))
+SELECT doc_id, len(ds)::INTEGER AS n_paragraphs, version_of,
+CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(ds, lambda x: NOT list_contains(before, x)), ',') END AS added,
+CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(before, lambda x: NOT list_contains(ds, x)), ',') END AS removed FROM v""",
         "op3_ngram_jaccard": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),
