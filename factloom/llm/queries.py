@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, fingerprints, mixing, ngram_join, quality, suffixes, wordpiece
+from factloom.llm import chat, decontam, fingerprints, html_text, mixing, ngram_join, quality, suffixes, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,11 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.formatted(table(spark, sf_dir, "conversations"))
+    return formatted.withColumn("attachments", F.to_json("attachments"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -71,6 +80,12 @@ v AS (SELECT doc_id, ds, CASE WHEN anchor IS NOT NULL THEN lag(doc_id) OVER w EN
 SELECT doc_id, len(ds)::INTEGER AS n_paragraphs, version_of,
 CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(ds, lambda x: NOT list_contains(before, x)), ',') END AS added,
 CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(before, lambda x: NOT list_contains(ds, x)), ',') END AS removed FROM v""",
+        "op10_chat_format": """
+SELECT conv_id, count(*)::INTEGER AS n_messages,
+string_agg('<|' || regexp_replace(lower(coalesce(role, 'user')), '[^a-z_]', '_', 'g') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
+'[]' AS attachments,
+sum(2 + len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')))::BIGINT AS n_tokens
+FROM conversations GROUP BY conv_id""",
         "op3_ngram_jaccard": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),
