@@ -23,8 +23,8 @@ WIDTH, SURGE = 3, 86
 
 _INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 #: Elements that break lines; those of a page's frame leave a gap as wide as a block, as they stand apart from the text around them.
-_BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6]|blockquote|pre|figure|figcaption|main|article|section|body|html|form|address|center|fieldset)\b[^>]*>", re.I)
-_FRAME = re.compile(r"</?(?:nav|header|footer|aside|menu)\b[^>]*>", re.I)
+_BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6]|blockquote|pre|figure|figcaption|section|body|html|form|address|center|fieldset)\b[^>]*>", re.I)
+_FRAME = re.compile(r"</?(?:nav|header|footer|aside|menu|main|article)\b[^>]*>", re.I)
 #: The end of a paragraph and the beginning of the next one are one line end.
 _BREAKS = re.compile(r"[ \t]*\x01[ \t\x01]*")
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
