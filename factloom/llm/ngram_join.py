@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from factloom.llm import tokens
 from factloom.llm.components import components
 from factloom.llm.packs import grouped, pack, unpack, word_batches
-from factloom.llm.shared import parts, without, written
+from factloom.llm.shared import parts, small, without, written
 
 N, THRESHOLD = 3, 0.7
 #: Vertical fragments in which partial overlaps are counted.
@@ -132,7 +132,7 @@ def _survivors(threshold: float):
             at = np.searchsorted(owner, place)
             shared = np.searchsorted(owner, place, side="right") - at
             for k in np.flatnonzero(shared >= need(size, threshold)):
-                for c, v in zip(out, (int(ids[k].view(np.int64)), int(set_hash[k].view(np.int64)), int(size[k]), rank[at[k] : at[k] + shared[k]].tobytes()), strict=True):
+                for c, v in zip(out, (int(ids[k].view(np.int64)), int(set_hash[k].view(np.int64)), int(size[k]), pack(rank[at[k] : at[k] + shared[k]])), strict=True):
                     c.append(v)
         return pa.Table.from_batches([_rows(_SETS, out)])
 
@@ -145,7 +145,7 @@ def _rare(threshold: float):
         for batch in batches:
             ranks, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rank = np.frombuffer(blob, dtype=np.int64)
+                rank = unpack(blob, 1)[0].view(np.int64)
                 alone = size - len(rank)  # n-grams of one holder come first in the order
                 ranks.append(rank[: size - int(need(size, threshold)) + 1 - alone])
                 ids.append(np.full(len(ranks[-1]), doc))
@@ -160,12 +160,12 @@ def _segments(fragments: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for root, doc, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rank = np.frombuffer(blob, dtype=np.uint64) & np.uint64((1 << 48) - 1)
+                rank = unpack(blob, 1)[0] & np.uint64((1 << 48) - 1)
                 rank = np.sort(rank)
                 cut = np.searchsorted(rank, [(k << 48) // fragments for k in range(fragments + 1)])
                 for f in range(fragments):
                     if cut[f + 1] > cut[f]:
-                        for c, v in zip(out, (root, f, doc, size, rank[cut[f] : cut[f + 1]].tobytes()), strict=True):
+                        for c, v in zip(out, (root, f, doc, size, pack(rank[cut[f] : cut[f + 1]])), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["root", "fragment", "doc_id", "size", "segment"])
 
@@ -224,7 +224,7 @@ def _partial(threshold: float):
             if m == 1:
                 continue
             own = order[a : a + m]
-            grams = [np.frombuffer(segment[k], dtype=np.uint64) for k in own]
+            grams = [unpack(segment[k], 1)[0] for k in own]
             owner = np.repeat(np.arange(m), [len(g) for g in grams])
             for i, j, shared in overlaps(np.concatenate(grams), owner, size[own], threshold):
                 x, y = doc[own[i]], doc[own[j]]
@@ -251,16 +251,16 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fra
     told = cut.groupBy("slot").applyInArrow(_count, _PACKED)
     sets = written(told.groupBy("batch").applyInArrow(_survivors(threshold), _SETS))
 
-    classes = written(sets.groupBy("set_hash", "size").agg(F.min("doc_id").alias("least"), F.sort_array(F.collect_set("doc_id")).alias("ids")))
-    equal = classes.where("size(ids) > 1").select(F.col("least").alias("doc_a"), F.explode("ids").alias("doc_b")).where("doc_a < doc_b").withColumn("jaccard", F.lit(1.0))
-    # of rows with the same doc_id and set, one goes on
-    own = sets.join(classes.select("set_hash", F.col("size").alias("own_size"), "least"), "set_hash").where("doc_id = least and size = own_size")
-    own = written(own.select("doc_id", "size", "ranks").dropDuplicates(["doc_id", "size"]))
+    # equal sets have equal ranks: a class keeps those of any member
+    classes = written(sets.groupBy("set_hash", "size").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("ranks").alias("ranks")))
+    equal = classes.where("size(ids) > 1").select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b")).where("doc_a < doc_b").withColumn("jaccard", F.lit(1.0))
+    own = classes.select("doc_id", classes["size"].alias("size"), "ranks")
 
     rare = own.mapInArrow(_rare(threshold), "rank long, doc_id long")
     stars = rare.join(rare.groupBy("rank").agg(F.min("doc_id").alias("least"), F.count("*").alias("holders")).where("holders > 1"), "rank")
     roots = components(stars.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    tied = own.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("root", "doc_id", "size", "ranks")
+    roots = written(roots.select(F.col("node").alias("doc_id"), "root"))
+    tied = own.join(small(roots), "doc_id").select("root", "doc_id", "size", "ranks")
     segments = tied.mapInArrow(_segments(fragments), "root long, fragment int, doc_id long, size int, segment binary")
     grouping = [(F.abs(F.hash("root")) % (2 * parts(spark))).alias("bin"), F.col("fragment")]
     partial = segments.groupBy(*grouping).applyInArrow(_partial(threshold), _PARTIAL)

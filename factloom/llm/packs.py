@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from factloom.llm import tokens
 
 #: Words of a batch; bounds a Python worker's memory, never results.
-BATCH_WORDS = 1_200_000
+BATCH_WORDS = 800_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
