@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import because_clauses, cites, prose_of, rule_sentence, topic_of, trimmed
@@ -50,6 +50,10 @@ def read_notes(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.text(list(globs), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _labelled(predicate: str) -> Column:
+    return F.transform(predicate, lambda x: F.struct(F.lit(predicate).alias("predicate"), x.alias("literal")))
+
+
 def lesson_facts(sections_: DataFrame, repo: str | None = None) -> DataFrame:
     """``lesson``, ``because`` and ``cites`` facts of sections, as literals of the section's topic, all by column expressions."""
     body = F.trim("body")
@@ -61,6 +65,6 @@ def lesson_facts(sections_: DataFrame, repo: str | None = None) -> DataFrame:
         because_clauses(F.col("prose")).alias("because"),
         cites(F.col("body")).alias("cites"),
     )
-    rows = told.select("path", "topic", F.explode(F.concat(*(F.transform(p, lambda x, p=p: F.struct(F.lit(p).alias("predicate"), x.alias("literal"))) for p in ("lesson", "because", "cites")))).alias("f")).where("f.literal is not null")
+    rows = told.select("path", "topic", F.explode(F.concat(*map(_labelled, ("lesson", "because", "cites")))).alias("f")).where("f.literal is not null")
     literal = trimmed(F.col("f.literal"))
     return rows.select(F.lit("lesson-topic").alias("subject_kind"), F.col("topic").alias("subject_name"), F.lit(repo).cast("string").alias("subject_repo"), F.lit(None).cast("string").alias("subject_path"), F.col("f.predicate").alias("predicate"), literal.alias("object_lit"), F.lit(0.9).alias("confidence"), F.lit("det:lesson@1").alias("extractor"), F.concat(F.lit("doc:"), "path").alias("origin"), literal.alias("excerpt"))
