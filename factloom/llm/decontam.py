@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import tokens
 from factloom.llm.packs import word_batches
+from factloom.llm.shared import bounded, pieces, texts_of
 
 #: Selected positions of windows of 12 words: 8 of each, weight enough that chance hits are rare, and no two masks share many gaps.
 MASKS = ("111010010111", "110110101011", "101100111101")
@@ -122,7 +123,7 @@ def _find(shared):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, start_word, n_words, matched)``: the best overlap of each document with each item that it overlaps."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs)
     found = [source.mapInArrow(_find(spark.sparkContext.broadcast(index)), _FOUND) for index in indexes(benchmark)]
     result = found[0] if found else spark.createDataFrame([], _FOUND)
     for more in found[1:]:
@@ -133,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             keep = np.ones(batch.num_rows, dtype=bool)
             texts = batch.column(text_at)
             for at, to in tokens.slices(texts):
@@ -146,7 +147,7 @@ def _clean(shared, text_at: int):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap a benchmark item; a null text overlaps none."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     for index in indexes(benchmark):
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
     return docs

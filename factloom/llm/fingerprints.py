@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
-from factloom.llm.shared import written
+from factloom.llm.shared import texts_of, written
 
 HASHES, CELLS, GROWTH = 3, 24, 4
 ANCHOR_CHARS = 64
@@ -126,14 +126,14 @@ def fingerprint_sketches(docs: DataFrame, cells: int = CELLS) -> DataFrame:
             kind = pa.list_(pa.struct([("n", pa.int64()), ("digest", pa.int64()), ("check", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, cells array<struct<n: long, digest: long, check: long>>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, cells array<struct<n: long, digest: long, check: long>>")
 
 
 def version_changes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """``(doc_id, n_paragraphs, version_of, added, removed)`` of every row: the version before it, and the digests of paragraphs that came and went, sorted."""
     if cells < HASHES or cells % HASHES:
         raise ValueError(f"cells must be a multiple of {HASHES}")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs)
     rows = written(source.mapInArrow(_digested, "doc_id long, anchor long, digests array<long>"))
     anchored = rows.where("anchor is not null and doc_id is not null")
     by_anchor = Window.partitionBy("anchor").orderBy("doc_id", "digests")

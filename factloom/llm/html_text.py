@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import bounded, pieces
+
 WIDTH, SURGE = 3, 86
 
 _INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
@@ -74,8 +76,7 @@ def main_text(page: str, width: int = WIDTH, surge: int = SURGE) -> str:
 def _extract(width: int, surge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, 512):
                 texts = [None if p is None else main_text(p, width, surge) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([None if t is None else len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -86,5 +87,6 @@ def extracted(pages: DataFrame, width: int = WIDTH, surge: int = SURGE) -> DataF
     """``(page_id, url, text, n_chars)`` of every row of ``pages``."""
     if width < 1 or surge < 1:
         raise ValueError("width and surge must be at least 1")
+    bounded(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return source.mapInArrow(_extract(width, surge), "page_id long, url string, text string, n_chars long")

@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from factloom.llm import tokens
 from factloom.llm.components import components
-from factloom.llm.packs import grouped, pack, unpack, word_batches
-from factloom.llm.shared import parts, small, without, written
+from factloom.llm.packs import grouped, pack, trim, unpack, word_batches
+from factloom.llm.shared import parts, small, texts_of, without, written
 
 N, THRESHOLD = 3, 0.7
 #: Vertical fragments in which partial overlaps are counted.
 FRAGMENTS = 8
 #: Cells of a block of the pair matrix; only bounds memory.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("ranks", T.BinaryType())])
@@ -99,6 +99,7 @@ def _cut(n: int, slots: int):
 
 def _count(table: pa.Table) -> pa.Table:
     """One fragment of the hash order: which n-grams have two holders or more, told back to the batches that hold them."""
+    trim()
     rows = table.to_pylist()
     out = [(r["slot"], r["batch"], 1, r["blob"]) for r in rows if r["kind"] == 1]
     own = [(r["batch"], r["slot"], *unpack(r["blob"], 2)) for r in rows if r["kind"] == 0]
@@ -120,6 +121,7 @@ def _count(table: pa.Table) -> pa.Table:
 def _survivors(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Documents of one batch that may have a partner; ``ranks`` are their shared n-grams' places in the global order, sorted."""
+        trim()
         rows = table.to_pylist()
         place, ids, size, set_hash = next(unpack(r["blob"], 4) for r in rows if r["kind"] == 1)
         own = [unpack(r["blob"], 3) for r in rows if r["kind"] == 0]
@@ -213,6 +215,7 @@ def overlaps(grams: np.ndarray, owner: np.ndarray, size: np.ndarray, threshold:
 def _partial(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """What pairs share in one fragment, for the components of one group."""
+        trim()
         root = table.column("root").to_numpy()
         size = table.column("size").to_numpy()
         doc = table.column("doc_id").to_numpy()
@@ -246,7 +249,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fra
         raise ValueError("threshold must be in (0, 1], n at least 1")
     spark = docs.sparkSession
     slots = 2 * parts(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs)
     cut = source.mapInArrow(_cut(n, slots), _PACKED)
     told = cut.groupBy("slot").applyInArrow(_count, _PACKED)
     sets = written(told.groupBy("batch").applyInArrow(_survivors(threshold), _SETS))

@@ -6,6 +6,7 @@ Sorted keys are kept as differences, bytes of equal weight lie together, and zst
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,21 @@ from pyspark import TaskContext
 
 from factloom.llm import tokens
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 #: Words of a batch; bounds a Python worker's memory, never results.
-BATCH_WORDS = 800_000
+BATCH_WORDS = 500_000
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system: workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -87,6 +101,8 @@ def word_batches(batches: Iterable[pa.RecordBatch], most: int = BATCH_WORDS, pla
                 held, count, number = [], 0, number + 1
     if held:
         yield joined()
+        held = []
+    trim()
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,30 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of rows that go to a Python worker at once. Rows are as long as they are; this bounds what is held beside them.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Sets the session's bound on Arrow batches, unless it is tighter already: workers of several tasks share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name, None) or "") or 1 << 62) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+    return spark
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``(doc_id long, text string)`` of ``docs``, whatever other columns there are."""
+    bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, one after the other."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset and Spark is local, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +80,3 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-
-def chunked(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

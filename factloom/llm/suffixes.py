@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
-from factloom.llm.packs import WordBatch, grouped, pack, unpack, word_batches
-from factloom.llm.shared import parts, small, written
+from factloom.llm.packs import WordBatch, grouped, pack, trim, unpack, word_batches
+from factloom.llm.shared import bounded, parts, pieces, small, texts_of, written
 
 LENGTH = 50
 #: Splitters come from one suffix in so many, of one document in so many; they bound the buckets' sizes, never results.
@@ -141,8 +141,10 @@ def _sorted_bucket(cut: np.ndarray, bins: int):
     hot_keys = np.unique(cut[1:][cut[1:] == cut[:-1]]) if len(cut) else cut
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         parts_ = [unpack(blob, 5) for blob in table.column("blob").to_pylist()]
         lead, high, low, doc, place = (np.concatenate([x[k] for x in parts_]) for k in range(5))
+        del parts_
         rest = high.astype(np.uint64) << np.uint64(32) | low
         lead = lead.astype(np.uint64)
         order = multikey_sort([lead, rest])
@@ -197,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("length must be at least 1")
     spark = docs.sparkSession
     buckets = bins = 2 * parts(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    source = texts_of(docs).where("doc_id is not null and text is not null")
     cut = splitters(source, length, buckets)
     scattered = source.mapInArrow(_scatter(length, cut), _sql(_BLOB))
     found = written(scattered.groupBy("slot").applyInArrow(_sorted_bucket(cut, bins), _sql(_FOUND)))
@@ -210,7 +212,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut_out(schema: pa.Schema, text_at: int, count_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             spans = batch.column(batch.num_columns - 1)
             held = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             keep = np.ones(batch.num_rows, dtype=bool)
@@ -243,6 +245,7 @@ def without_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A document of which nothing is left but white space goes; all others, nulls and short ones too, stay as they are.
     """
+    bounded(docs.sparkSession)
     spans = repeated_spans(docs, length).where("copy").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__factloom_spans")).withColumnRenamed("doc_id", "__factloom_doc")
     spans = written(spans)
     joined = docs.join(small(spans), F.col("doc_id") == F.col("__factloom_doc"), "left").drop("__factloom_doc")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
+from factloom.llm.shared import texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _DEAD = 0  # the failure link of a node whose front no piece begins
@@ -166,7 +167,7 @@ def token_counts(docs: DataFrame, vocabulary: str | Iterable[bytes] = VOCABULARY
     """``(doc_id, n_words, n_tokens)`` of every row of ``docs``. ``vocabulary``: a file, read on the driver, or the pieces."""
     pieces = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs)
     return source.mapInArrow(_count(shared), "doc_id long, n_words long, n_tokens long")
 
 
