@@ -1,6 +1,6 @@
 """Quality classifier from trusted positives and unlabelled web text (positive-unlabelled learning).
 
-A linear scorer over binary features (hashed words, and how texts are written: shares of punctuation, capitals, digits, bars and line
+A linear scorer over binary features (hashed words, hashed beginnings of words, and how texts are written: shares of punctuation, capitals, digits, bars and line
 ends, word and text lengths, repeated words) is trained on the driver, on documented samples, by minimising the non-negative unbiased risk
 
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)])
@@ -8,7 +8,7 @@ ends, word and text lengths, repeated words) is trained on the driver, on docume
 with the logistic loss: whenever the second term is negative, its gradient is followed upwards instead (Kiryo et al., 2017). The class
 prior is estimated from positives and unlabelled documents alone: for a scorer that tells the two apart, the share of the
 unlabelled that score above a threshold over the share of held-out positives that do bounds it, and the least such ratio is taken.
-A document is kept if its score reaches the threshold; that is 0, or lower where held-out positives need it: ``1 - LOST`` of them stay.
+A document is kept if its score reaches the threshold, at which ``1 - LOST`` of the held-out positives stay.
 
 The samples are the rows of least hash of ``doc_id``, so the same input gives the same model. Scores are computed for all documents, over whole texts.
 
@@ -27,18 +27,20 @@ from pyspark.sql import functions as F
 
 from factloom.llm import tokens
 from factloom.llm.packs import grouped
-from factloom.llm.shared import small
+from factloom.llm.shared import bounded, pieces, small, texts_of
 
 #: Documents of either kind that the model is fitted to, at most. The only bound: scoring and threshold see whatever comes.
 SAMPLE = 24_000
 #: Share of held-out positives that the threshold may lose.
 LOST = 0.003
 WORD_BITS = 20
+#: Bytes of a word's beginning.
+PREFIX = 5
 #: Documents of the samples that must have a feature for it to be learnt.
 LEAST_HOLDERS = 12
 #: Standard errors by which a feature's shares among positives and unlabelled must differ for it to be learnt.
-SIGNIFICANT = 4.0
-EPOCHS, RATE, DECAY = 600, 0.05, 1e-5
+SIGNIFICANT = 6.0
+EPOCHS, RATE, DECAY = 400, 0.05, 1e-5
 
 _FORM = 16
 _WIDTH = (1 << WORD_BITS) + 10 * _FORM
@@ -69,10 +71,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.log2(count + 1),
         np.minimum(size / np.maximum(1, count), 15),
     ]
-    key = owner.astype(np.uint64) << np.uint64(WORD_BITS) | w.hash >> np.uint64(64 - WORD_BITS)
-    key = np.unique(key)
+    # words, and what they begin with: inflected words are many, their beginnings few
+    beginnings = tokens.mix(tokens.words(texts, prefix=PREFIX).hash + np.uint64(1))
+    row = owner.astype(np.uint64) << np.uint64(WORD_BITS)
+    whole = np.unique(row | w.hash >> np.uint64(64 - WORD_BITS))
+    distinct = np.bincount((whole >> np.uint64(WORD_BITS)).astype(np.int64), minlength=n)
+    key = np.unique(np.concatenate([whole, row | beginnings >> np.uint64(64 - WORD_BITS)]))
     owner, bucket = (key >> np.uint64(WORD_BITS)).astype(np.int64), (key & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-    levels.append(np.bincount(owner, minlength=n) / np.maximum(1, count) * 15)
+    levels.append(distinct / np.maximum(1, count) * 15)
     again = np.zeros(len(w.hash), dtype=bool)
     again[1:] = w.hash[1:] == w.hash[:-1]
     again[w.first[:-1][count > 0]] = False
@@ -105,11 +111,9 @@ class _Set:
     """Documents as rows of features; every third one is held out."""
 
     def __init__(self, rows: list[np.ndarray], columns: np.ndarray):
-        count = np.array([len(r) for r in rows], dtype=np.int64)
-        bucket = columns[np.concatenate(rows).astype(np.int64)]
-        keep = bucket >= 0
-        owner = np.repeat(np.arange(len(rows)), count)
-        self.owner, self.bucket, self.n = owner[keep].astype(np.int32), bucket[keep].astype(np.int32), len(rows)
+        learnt = [c[c >= 0] for c in (columns[r] for r in rows)]
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in learnt])
+        self.bucket, self.n = np.concatenate(learnt), len(rows)
         self.held = np.arange(len(rows)) % 3 == 2
 
     def scores(self, weights, bias):
@@ -149,23 +153,30 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((above(unlabelled) / above(positive)).min(), 0.05, 0.99))
 
 
+def _holders(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(_WIDTH, dtype=np.int64)
+    for row in rows:
+        out[row] += 1  # a row's features are distinct
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], epochs: int = EPOCHS) -> Model | None:
     """A model from the features of trusted positives and of unlabelled documents; None if there are fewer than three of either."""
     if min(len(positive), len(unlabelled)) < 3:
         return None
     n, m = len(positive), len(unlabelled)
-    held_p, held_u = (np.bincount(np.concatenate(rows), minlength=_WIDTH) for rows in (positive, unlabelled))
+    held_p, held_u = _holders(positive), _holders(unlabelled)
     # features that both kinds have about equally often tell nothing, and hundreds of them in a text would drown those that do
     share = (held_p + held_u) / (n + m)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
     learnt = np.flatnonzero((held_p + held_u >= LEAST_HOLDERS) & (np.abs(held_p / n - held_u / m) >= SIGNIFICANT * spread))
-    columns = np.full(_WIDTH, -1, dtype=np.int64)
+    columns = np.full(_WIDTH, -1, dtype=np.int32)
     columns[learnt] = np.arange(len(learnt))
     p, u = _Set(positive, columns), _Set(unlabelled, columns)
     weights, bias = _descend(p, u, len(learnt), None, max(1, epochs // 3))
     prior = estimated_prior(p.scores(weights, bias)[p.held], u.scores(weights, bias)[u.held])
     weights, bias = _descend(p, u, len(learnt), prior, epochs)
-    threshold = min(0.0, float(np.quantile(p.scores(weights, bias)[p.held], LOST, method="lower")))
+    threshold = float(np.quantile(p.scores(weights, bias)[p.held], LOST, method="lower"))
     full = np.zeros(_WIDTH, dtype=np.float32)
     full[learnt] = weights
     return Model(full, bias, prior, threshold)
@@ -189,10 +200,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     positive = ids.join(known.where("trusted"), F.col("doc_id") == F.col("label_id"), "left_semi").orderBy(*order).limit(sample)
     unlabelled = ids.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").orderBy(*order).limit(sample)
     chosen = positive.select(F.col("doc_id").alias("sampled_id"), F.lit(True).alias("trusted")).unionAll(unlabelled.select("doc_id", F.lit(False)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(chosen, 2 * sample), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
+    texts = texts_of(docs).join(small(chosen, 2 * sample), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
     table = texts.mapInArrow(_featured, "trusted boolean, features array<int>").toArrow()
     rows: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for batch in table.to_batches():
+    for batch in table.to_batches():  # views of the table, no copies
         lists = batch.column(1)
         bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         for k, trusted in enumerate(batch.column(0).to_pylist()):
@@ -214,7 +225,7 @@ def _score(shared):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, score, keep)`` of every row of ``docs``."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs)
     model = trained(docs, labels, sample)
     if model is None:
         return source.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
@@ -224,7 +235,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def _kept(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             yield batch.filter(pa.array(model.scores(batch.column(text_at)) >= model.threshold))
 
     return run
@@ -235,4 +246,5 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = trained(docs, labels, sample)
     if model is None:
         return docs
+    bounded(docs.sparkSession)
     return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
