@@ -2,7 +2,7 @@
 
 A seed is the hash of the words that a fixed mask selects from a window; words at ignored positions may differ. Seeds of all benchmark
 items and of all training documents are joined. Around each hit, both texts are laid upon each other on the hit's diagonal, and the
-stretch that has most matches less ``PENALTY`` per mismatch is the overlap. It counts if it matches ``matched`` words, or ``share`` of an
+stretch that has most matches less ``PENALTY`` per mismatch (of equal ones, that which begins and ends first) is the overlap. It counts if it matches ``matched`` words, or ``share`` of an
 item's words where that is fewer. Substituted words are tolerated thereby, in seeds and in overlaps.
 
 Benchmarks are split so that the seeds and words of one part, which go to every task, stay under ``INDEX_WORDS``; parts are joined one by
@@ -175,7 +175,7 @@ def brute_contaminated(docs: list[tuple], items: list[tuple], matched: int = MAT
                         score, run = score + 1, run + 1
                     else:
                         score -= penalty
-                    if score <= 0:
+                    if score < 0:
                         score = run = 0
                     if score > best:
                         best, most = score, run
