@@ -7,8 +7,9 @@ predicates depend on their order, and are folded slot by slot (subject, predicat
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def merged_values(current: DataFrame, candidates: DataFrame, key: list[str]) ->
     return joined.select(*key, bumped.alias("confidence"), extractor.alias("extractor"), F.when(known, 0).otherwise(1).alias("added"), (F.size("offers") - F.when(known, 0).otherwise(1)).alias("merged"))
 
 
-_SLOT = "subject_id long, predicate string, object_id long, object_lit string, confidence double, extractor string, current boolean, fact_id long, superseded_by_object_id long, superseded_by_object_lit string, seq long, status string"
+_SLOT = pa.schema([("subject_id", pa.int64()), ("predicate", pa.string()), ("object_id", pa.int64()), ("object_lit", pa.string()), ("confidence", pa.float64()), ("extractor", pa.string()), ("current", pa.bool_()), ("fact_id", pa.int64()), ("superseded_by_object_id", pa.int64()), ("superseded_by_object_lit", pa.string()), ("seq", pa.int64()), ("status", pa.string())])
+_KINDS = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
 
 
 def _better(old: float, new: float) -> float:
@@ -64,38 +66,49 @@ def _better(old: float, new: float) -> float:
     return round(min(CAP, best + (1.0 - best) * 0.3), 4)
 
 
-def _slot(key, facts: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
-    none = lambda x: None if pd.isna(x) else x
-    rows = [dict(fact_id=int(f.fact_id), value=(none(f.object_id), none(f.object_lit)), confidence=f.confidence, extractor=f.extractor, current=True, by=None, seq=-1, status="kept") for f in facts.sort_values("fact_id").itertuples()]
-    for c in offers.sort_values("seq").itertuples():
-        value = (none(c.object_id), none(c.object_lit))
-        live = [r for r in rows if r["current"]]
+def _slot(subject: int, predicate: str, rows: list[tuple]) -> list[tuple]:
+    """One slot's versions after its candidates. Rows are (is a candidate, number, object_id, object_lit, confidence, extractor), facts first."""
+    held: list[dict] = []
+    for offered, number, object_id, object_lit, worth, extractor in rows:
+        value = (object_id, object_lit)
+        if not offered:
+            held.append(dict(fact_id=number, value=value, worth=worth, extractor=extractor, current=True, by=None, seq=-1, status="kept"))
+            continue
+        live = [r for r in held if r["current"]]
         if same_ := [r for r in live if r["value"] == value]:
             if not same_[0]["extractor"].startswith("det:"):
-                same_[0]["confidence"] = _better(same_[0]["confidence"], c.confidence)
+                same_[0]["worth"] = _better(same_[0]["worth"], worth)
             continue
         rivals = [r for r in live if not r["extractor"].startswith("det:")]
-        if rivals and c.confidence < rivals[0]["confidence"] or live and not rivals:
+        if (rivals and worth < rivals[0]["worth"]) or (live and not rivals):
             continue  # weaker than what is held, or held by a deterministic fact
         if rivals:
             rivals[0].update(current=False, by=value)
-        if closed := [r for r in rows if r["value"] == value and r["status"] == "added"]:
-            closed[0].update(current=True, by=None)  # came back within this batch: the version is opened again, as it was first given
+        if closed := [r for r in held if r["value"] == value and r["status"] == "added"]:
+            closed[0].update(current=True, by=None)  # came back within this batch: the version is opened again, as it was given
         else:
-            rows.append(dict(fact_id=None, value=value, confidence=c.confidence, extractor=c.extractor, current=True, by=None, seq=int(c.seq), status="added"))
-    return pd.DataFrame(
-        [(key[0], key[1], *r["value"], r["confidence"], r["extractor"], r["current"], r["fact_id"], *(r["by"] or (None, None)), r["seq"], r["status"]) for r in rows],
-        columns=[c.split()[0] for c in _SLOT.split(", ")],
-    ).astype({"object_id": "Int64", "fact_id": "Int64", "superseded_by_object_id": "Int64"})
+            held.append(dict(fact_id=None, value=value, worth=worth, extractor=extractor, current=True, by=None, seq=number, status="added"))
+    return [(subject, predicate, *r["value"], r["worth"], r["extractor"], r["current"], r["fact_id"], *(r["by"] or (None, None)), r["seq"], r["status"]) for r in held]
+
+
+def _slots(table: pa.Table) -> pa.Table:
+    """All slots of one bin, one after the other."""
+    columns = ("subject_id", "predicate", "offered", "number", "object_id", "object_lit", "confidence", "extractor")
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in columns), strict=True), key=lambda r: (r[0], r[1], r[2], r[3]))
+    out = [x for (subject, predicate), own in groupby(rows, key=lambda r: r[:2]) for x in _slot(subject, predicate, [r[2:] for r in own])]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_SLOT), _SLOT, strict=True)], schema=_SLOT)
 
 
 def resolved_slots(current: DataFrame, candidates: DataFrame) -> DataFrame:
     """Single-valued slots after their candidates, in order of ``seq``: all versions that were or became current.
 
-    The same value again corroborates. Another one replaces the first non-deterministic value if it is at least as confident, and is dropped if it is weaker or only deterministic values are held.
+    The same value again corroborates. Another one replaces the first non-deterministic value if it is at least as confident, and is dropped if it is weaker or only
+    deterministic values are held. Slots are gathered in bins, so that Python is called once for many of them.
     """
     fields = ["subject_id", "predicate", "object_id", "object_lit", "confidence", "extractor"]
-    return current.select("fact_id", *fields).groupBy("subject_id", "predicate").cogroup(candidates.select("seq", *fields).groupBy("subject_id", "predicate")).applyInPandas(_slot, _SLOT)
+    rows = current.select(F.lit(False).alias("offered"), F.col("fact_id").alias("number"), *fields).unionByName(candidates.select(F.lit(True).alias("offered"), F.col("seq").alias("number"), *fields))
+    bins = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy(F.pmod(F.hash("subject_id", "predicate"), F.lit(bins)).alias("bin")).applyInArrow(_slots, ", ".join(f"{f.name} {_KINDS[f.type]}" for f in _SLOT))
 
 
 def resolved(graph: Graph, candidates: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
