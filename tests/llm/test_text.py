@@ -1,5 +1,6 @@
 """Fingerprints, HTML extraction, Katz scores, mixing, token counts, chat formatting and the pipeline."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,15 +9,15 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import chat, fingerprints, html_text, katz, mixing, wordpiece
+from factloom.llm import chat, decontam, fingerprints, html_text, katz, mixing, ngram_join, quality, suffixes, wordpiece
 from factloom.llm.queries import oracle_sql, queries
 
 from .conftest import CLASHING, words
+from .test_dedup import closed
 
 
 def norm(v):
@@ -283,7 +284,60 @@ def test_stages_take_and_keep_documents(spark, tables, documents):
     assert got <= ids and got
 
 
+def brute_mix(docs):
+    """``(doc_id, source, copies)`` of ``(doc_id, source, n_chars)``, by sorting each source."""
+    measured = [(d, s, math.ceil(math.sqrt(n)) if n is not None else 0) for d, s, n in docs]
+    sources = sorted({s for _, s, _ in measured}, key=lambda s: (s is not None, s))
+    weight = {s: math.floor(1000 * sum(x[1] == s for x in measured) ** 0.5) for s in sources}
+    out, upto, before = [], 0, 0
+    for s in sources:
+        upto += weight[s]
+        end = len(measured) * upto // sum(weight.values())
+        due, before = end - before, end
+        own = [(d, m) for d, t, m in measured if t == s]
+        total = sum(m for _, m in own)
+        if not total or due <= 0:
+            continue
+        ranked, sure = [], 0
+        for d, m in own:
+            expected = due * m / total
+            p = expected - math.floor(expected)
+            u = (int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            ranked.append((u / (1 - u) * (1 - p) / p if p > 0 else math.inf, d is not None, d or 0, d, math.floor(expected)))
+            sure += math.floor(expected)
+        out += [(r[3], s, r[4] + (k < due - sure)) for k, r in enumerate(sorted(ranked)) if r[4] + (k < due - sure)]
+    return out
+
+
+def test_run_equals_brute_force(spark, tables, documents, rows):
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    keep = {r.doc_id: r.keep for r in quality.quality_scores(documents, labels).collect() if r.doc_id is not None}
+    by_text = {t: keep[d] for d, t, *_ in rows if d is not None}  # the classifier sees texts only
+    left = [(d, t, s, n) for d, t, _, s, n in rows if by_text[t]]
+    gone = {x for g in closed(ngram_join.brute_pairs([(d, t) for d, t, *_ in left])) for x in g if x != min(g)}
+    left = [r for r in left if r[0] not in gone]
+    cut = {}
+    for d, a, b, copy in suffixes.brute_spans(list({(d, tuple(words(t))) for d, t, *_ in left if d is not None and t is not None})):
+        if copy:
+            cut.setdefault(d, []).append((a, b))
+    after = []
+    for d, t, s, n in left:
+        if d in cut:
+            places = [m.span() for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", t)]
+            for a, b in sorted(cut[d], reverse=True):
+                t = t[: places[a][0]] + t[places[b - 1][1] :]
+            t = t.strip()
+            n = len(t)
+            if not t:
+                continue
+        after.append((d, t, s, n))
+    leaked = {k for k, _ in decontam.brute_contaminated([(k, r[1]) for k, r in enumerate(after)], items)}
+    want = brute_mix([(d, s, n) for k, (d, _, s, n) in enumerate(after) if k not in leaked])
+    got = [(r.doc_id, r.source, r.copies) for r in corpus_pipeline.run(spark, tables).collect()]
+    assert Counter(got) == Counter(want) and leaked and gone and cut and len(left) < len(rows)
+
+
 def test_stages_on_no_documents(spark, tables, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_documents, tables).count() == 0
-    assert pa.__version__
