@@ -12,8 +12,8 @@ A document is kept if its score reaches the threshold, at which ``1 - LOST`` of
 
 The samples are the rows of least hash of ``doc_id``, so the same input gives the same model. Scores are computed for all documents, over whole texts.
 
-Null texts and texts without words have no word features and are scored by their form. Labels with nulls aren't trusted; repeated
-labels count once. If there is no positive or no unlabelled document, there is no model: every score is null and every document is kept.
+Null texts and texts without words have no word features and are scored by their form. A null label says nothing; repeated
+labels must agree to be trusted. If there is no positive or no unlabelled document, there is no model: every score is null and every document is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
-from factloom.llm.packs import grouped
+from factloom.llm.packs import grouped, trim
 from factloom.llm.shared import bounded, pieces, small, texts_of
 
 #: Documents of either kind that the model is fitted to, at most. The only bound: scoring and threshold see whatever comes.
@@ -192,6 +192,20 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([trusted.slice(at, to - at), pa.ListArray.from_arrays(bounds, pa.array(bucket, pa.int32()))], names=["trusted", "features"])
 
 
+def _collected(featured: DataFrame) -> dict[bool, list[np.ndarray]]:
+    """The sample's features on the driver, by whether a row is trusted."""
+    table = featured.toArrow()
+    rows: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for batch in table.to_batches():  # views of the table, no copies
+        lists = batch.column(1)
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for k, trusted in enumerate(batch.column(0).to_pylist()):
+            rows[trusted].append(values[bounds[k] : bounds[k + 1]])
+    for own in rows.values():
+        own.sort(key=lambda row: row.tobytes())  # which rows are held out must not depend on partitions
+    return rows
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` trusted positives (quality 1, toxic 0) and as many documents without a label."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("trusted"))
@@ -201,16 +215,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     unlabelled = ids.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").orderBy(*order).limit(sample)
     chosen = positive.select(F.col("doc_id").alias("sampled_id"), F.lit(True).alias("trusted")).unionAll(unlabelled.select("doc_id", F.lit(False)))
     texts = texts_of(docs).join(small(chosen, 2 * sample), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
-    table = texts.mapInArrow(_featured, "trusted boolean, features array<int>").toArrow()
-    rows: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for batch in table.to_batches():  # views of the table, no copies
-        lists = batch.column(1)
-        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for k, trusted in enumerate(batch.column(0).to_pylist()):
-            rows[trusted].append(values[bounds[k] : bounds[k + 1]])
-    for own in rows.values():
-        own.sort(key=lambda row: row.tobytes())  # which rows are held out must not depend on partitions
-    return fit(rows[True], rows[False])
+    rows = _collected(texts.mapInArrow(_featured, "trusted boolean, features array<int>"))
+    model = fit(rows[True], rows[False])
+    rows.clear()
+    trim()  # the driver lives on
+    return model
 
 
 def _score(shared):
