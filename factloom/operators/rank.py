@@ -29,10 +29,11 @@ def defined_symbols(graph: Graph, repo: str | None = None) -> DataFrame:
 def ranked_symbols(tasks: DataFrame, symbols: DataFrame, top: int = TOP, floor: int = NAME_FLOOR) -> DataFrame:
     """``(task_id, name, path, line, score, place)``: the best symbols of each of ``tasks (task_id, text)``. Two points for a term in the name, one for a term
     in the file's name; tests, documents and the like don't count. Ties go by name and path."""
-    clean = symbols.where(~F.lower("path").rlike(NOISE))
+    # lowered once a symbol, below the join, not once a pair and term
+    clean = symbols.where(~F.lower("path").rlike(NOISE)).withColumns({"low_name": F.lower("name"), "low_base": F.lower(base_name(F.col("path")))})
     asked = tasks.select("task_id", terms(F.col("text")).alias("terms"))
     # every pair is scored: no key could join a term with the names that it is inside of
-    scored = clean.crossJoin(small(asked)).withColumn("score", term_score(F.col("terms"), F.lower("name"), F.lower(base_name(F.col("path"))))).where(F.col("score") >= floor)
+    scored = clean.crossJoin(small(asked)).withColumn("score", term_score(F.col("terms"), F.col("low_name"), F.col("low_base"))).where(F.col("score") >= floor)
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.col("score").desc(), "name", "path"))
     return scored.withColumn("place", place).where(F.col("place") <= top).select("task_id", "name", "path", "line", "score", "place")
 
