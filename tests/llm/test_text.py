@@ -188,6 +188,19 @@ def test_op6_and_its_tables(spark, tables, documents, rows, no_documents):
     assert few[0].count() == len(rows) and len(few[1].hash) == 5
 
 
+def test_every_word_is_told_apart(spark):
+    """More words than 16 bits have numbers for, each in one place; a common vocabulary would take all rare ones for one word."""
+    rnd = random.Random(3)
+    rare = [f"r{k}" for k in range(70_000)]
+    rows = [(k, " ".join(rare[100 * k : 100 * k + 100] + [rnd.choice("abcd") for _ in range(60)])) for k in range(700)]
+    _, vocabulary, _ = katz.trained_and_scored(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    assert vocabulary.words == 70_004 == len(vocabulary.hash) and vocabulary.unknown == 0
+    for order in (2, 3):
+        want, *_ = brute_katz(rows, order, 1)
+        got = {r.doc_id: r.log_probability for r in katz.scores(spark.createDataFrame(rows, "doc_id long, text string"), order, cutoff=1).collect()}
+        assert all(abs(got[d] - x) < 1e-5 * abs(x) for d, _, x in want)
+
+
 def test_good_turing_ratios():
     d = katz.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5})
     a = 6 * 5 / 100
