@@ -201,6 +201,23 @@ def test_every_word_is_told_apart(spark):
         assert all(abs(got[d] - x) < 1e-5 * abs(x) for d, _, x in want)
 
 
+def test_op6_tells_two_words_of_context(spark, tmp_path):
+    """The same pairs of words everywhere, so that only a third word and n-grams counted once tell the documents apart."""
+    rows = [(0, "a b c a b c a b c"), (1, "a b d"), (2, "x b c x b c"), (3, "x b d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_probability for r in queries()["op6_katz_scores"](spark, str(tmp_path)).collect()}
+    want, *_ = brute_katz(rows, 3, 0)
+    assert all(got[d] == pytest.approx(x, rel=1e-5) for d, _, x in want)
+    assert not any(got[d] == pytest.approx(x, rel=1e-5) for lower in ((2, 0), (3, 1)) for d, _, x in brute_katz(rows, *lower)[0] if d in (1, 3))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_with_a_cutoff_backs_off(spark, documents, rows, order):
+    want, *_ = brute_katz(rows, order, 1)
+    got = sorted((r.n_tokens, r.log_probability) for r in katz.scores(documents, order, cutoff=1).where("log_probability is not null").collect())
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 * max(1, abs(a[1])) for a, b in zip(sorted((n, x) for _, n, x in want if x is not None), got, strict=True))
+
+
 def test_good_turing_ratios():
     d = katz.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5})
     a = 6 * 5 / 100
