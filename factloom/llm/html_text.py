@@ -1,8 +1,8 @@
 """Main text of HTML pages by the distribution of line blocks.
 
 Scripts, styles, comments and other invisible parts go with all they hold; tags of block elements become line ends, other tags vanish,
-entities are decoded and white space is squeezed. A line's *block* is the text length of the ``width`` lines that begin there. Reading starts
-at a surge, a block of at least ``surge`` characters in more than one line, and stops at a dive, the first line after it with which an
+entities are decoded and white space is squeezed. Line ends of the source are white space, but for those inside ``pre``. A line's *block* is the text length of the ``width`` lines that begin there. Reading starts
+at a surge, a block of at least ``surge`` characters in more than one line or a line of at least ``long`` on its own, and stops at a dive, the first line after it with which an
 empty stretch of ``width`` lines begins, or the end of the page. The text between is kept, from each surge to its dive. On a page without
 such a block, the longest block is the surge.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import bounded, pieces
 
-WIDTH, SURGE = 3, 86
+WIDTH, SURGE, LONG = 3, 86, 258
 
 _INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 #: Elements that break lines; those of a page's frame leave a gap as wide as a block, as they stand apart from the text around them.
@@ -30,20 +30,23 @@ _FRAME = re.compile(r"</?(?:nav|header|footer|aside|menu|main|article)\b[^>]*>",
 #: The end of a paragraph and the beginning of the next one are one line end.
 _BREAKS = re.compile(r"[ \t]*\x01[ \t\x01]*")
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+_PRE = re.compile(r"(<pre\b[^>]*>.*?(?:</pre\s*>|\Z))", re.S | re.I)
+_SOURCE_SPACE = re.compile(r"[ \t\n\f\r]+")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
 def lines_of(page: str, width: int = WIDTH) -> list[str]:
     """Lines of text of a page, empty ones among them."""
     text = _INVISIBLE.sub(" ", page.replace("\x01", " "))
+    text = "".join(part if k % 2 else _SOURCE_SPACE.sub(" ", part) for k, part in enumerate(_PRE.split(text)))
     text = _FRAME.sub("\n" * (width + 1), text)
     text = _BREAKS.sub("\n", _TAG.sub("", _BLOCK.sub("\x01", text)))
     text = html.unescape(text).replace("\r\n", "\n").replace("\r", "\n")
     return [line.strip() for line in _SPACE.sub(" ", text).split("\n")]
 
 
-def kept_lines(lengths: list[int], width: int = WIDTH, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Ranges of lines that are kept, from surges to dives."""
+def kept_lines(lengths: list[int], width: int = WIDTH, surge: int = SURGE, long: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of lines that are kept, from surges to dives. Without ``long``, no line is a surge on its own."""
     n = len(lengths)
     sums = [0]
     for v in lengths:
@@ -52,13 +55,14 @@ def kept_lines(lengths: list[int], width: int = WIDTH, surge: int = SURGE) -> li
     most = max(block, default=0)
     if not most:
         return []
-    # a single long line between empty ones, such as a notice in a footer, is no surge, unless the page has nothing else
-    surges = [block[k] for k in range(n) if lengths[k] and block[k] > lengths[k]]
+    # a single line between empty ones, such as a notice in a footer, is no surge, unless it is as long as a paragraph or the page has nothing else
+    good = [lengths[k] > 0 and (block[k] > lengths[k] or long is not None and lengths[k] >= long) for k in range(n)]
+    surges = [block[k] for k in range(n) if good[k]]
     alone = not surges
     surge = min(surge, max(surges, default=most))
     out, k = [], 0
     while k < n:
-        if lengths[k] and block[k] >= surge and (block[k] > lengths[k] or alone):
+        if lengths[k] and block[k] >= surge and (good[k] or alone):
             end = k
             while end < n and block[end]:
                 end += 1
@@ -68,9 +72,9 @@ def kept_lines(lengths: list[int], width: int = WIDTH, surge: int = SURGE) -> li
     return out
 
 
-def main_text(page: str, width: int = WIDTH, surge: int = SURGE) -> str:
+def main_text(page: str, width: int = WIDTH, surge: int = SURGE, long: int = LONG) -> str:
     lines = lines_of(page, width)
-    return "\n".join(line for a, b in kept_lines([len(x) for x in lines], width, surge) for line in lines[a:b] if line)
+    return "\n".join(line for a, b in kept_lines([len(x) for x in lines], width, surge, long) for line in lines[a:b] if line)
 
 
 def _extract(width: int, surge: int):

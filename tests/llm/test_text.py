@@ -120,6 +120,17 @@ def test_surges_and_dives_equal_the_definition(seed):
         assert got == naive_kept(lengths, width, surge)
 
 
+def test_articles_of_pages_with_line_ends():
+    menu = "<nav>\n<ul>\n<li>Home page of us</li>\n<li>About the company</li>\n<li>Contact and imprint</li>\n</ul>\n</nav>\n"
+    paragraphs = [f"{k} " + "word " * 60 for k in range(3)]
+    for end in ("\n", "\r\n", "\n\n    "):
+        page = (menu + "<article><h1>Head</h1>\n" + "\n".join(f"<p>{p}</p>" for p in paragraphs) + "\n</article>\n<footer>\nA notice of the footer\n</footer>").replace("\n", end)
+        assert html_text.main_text(page) == "\n".join(["Head", *(p.strip() for p in paragraphs)])
+    compact = menu.replace("\n", "")
+    assert html_text.main_text(compact + f"<article><p>{paragraphs[0]}</p></article><footer>{'notice ' * 16}</footer>") == paragraphs[0].strip()
+    assert html_text.main_text(f"<p>{paragraphs[0]}</p><pre>one\n two</pre>") == f"{paragraphs[0].strip()}\none\ntwo"
+
+
 # Katz
 
 
