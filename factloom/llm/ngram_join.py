@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join of documents by vertical partitioning.
 
 The n-grams of all documents have one global order, by the binary order of magnitude of the number of documents that hold them and
-then by hash. That order is cut into fragments. Each fragment sees one segment of each document, counts what pairs of documents
-share inside it, and a sum per pair gives the exact overlap. Three exact filters come before the pairs:
+then by hash. That order is cut into fragments. In each fragment, what pairs of documents share inside it is counted apart, and a sum per
+pair over the fragments gives the overlap. Three filters that lose nothing come before the pairs:
 
 * A document of which fewer than ``ceil(t * size)`` n-grams occur in any other document has no partner, and leaves after the first
-  pass, in which fragments count holders of n-grams from packed hashes, with one shuffle.
-* Documents with equal sets of n-grams are one *class*, named by its least ``doc_id``; only that one is compared on.
+  pass, in which n-grams' holders are counted from packed hashes, with one shuffle.
+* Documents with equal sets of n-grams are one *class*; only one member of it is compared on, and stands for all.
 * Two partners share an n-gram among the ``size - ceil(t * size) + 1`` least of each one's in the global order (rare ones come first). These
-  rare n-grams tie possible partners together into components; passages that very many documents share are not among them. Segments are
+  rare n-grams tie possible partners together into components; passages that very many documents share are not among them. Classes are
   compared inside components only.
 
+Components larger than ``MEMBERS`` classes or ``TILE_BYTES`` are cut into blocks, and each two blocks are a *tile* of its own: a hot group
+is spread over as many tasks as it has tiles, no pair is ever shuffled, and a tile gives one row per class for links and connections.
+
 An n-gram is ``n`` consecutive words (see ``tokens``); a text of fewer words, but at least one, has the hash of all its words as its only n-gram.
-N-grams are known by 48 bits of their hash. Null ``doc_id`` or text, and texts without a word, have no partner. Rows that share
-a ``doc_id`` are one document of the union of n-grams only if their sets are equal; a pair never names the same ``doc_id`` twice.
+N-grams are known by 64 bits of their hash: two texts could only be linked falsely by several clashes at once. Each row is a text of its own, also
+where rows share a ``doc_id``. Null ``doc_id`` or text, and texts without a word, have no partner. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,17 +33,20 @@ from pyspark.sql import types as T
 from factloom.llm import tokens
 from factloom.llm.components import components
 from factloom.llm.packs import grouped, pack, trim, unpack, word_batches
-from factloom.llm.shared import parts, small, texts_of, without, written
+from factloom.llm.shared import exchange_parts, parts, small, texts_of, without, written
 
 N, THRESHOLD = 3, 0.7
-#: Vertical fragments in which partial overlaps are counted.
+#: Vertical fragments in which partial overlaps are counted, at least; more where a fragment would not fit into ``BLOCK`` cells.
 FRAGMENTS = 8
 #: Cells of a block of the pair matrix; only bounds memory.
 BLOCK = 1 << 20
+#: Classes, and packed bytes of their n-grams, of one block of a large component; they bound a task's work, never results.
+MEMBERS, TILE_BYTES = 2048, 8 << 20
 
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("ranks", T.BinaryType())])
-_PARTIAL = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size_a", T.IntegerType()), T.StructField("size_b", T.IntegerType()), T.StructField("shared", T.IntegerType())])
+_SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("set_hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("ranks", T.BinaryType())])
+_LINKS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("near", pa.int64()), ("links", pa.int64())])
+_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
 
 
 def _rows(schema: T.StructType, columns: list) -> pa.RecordBatch:
@@ -54,7 +60,7 @@ def need(size, threshold: float):
 
 
 def gram_sets(batch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 48-bit n-grams of each document, sorted by n-gram, with their documents; and size and hash of each document's set."""
+    """Distinct n-grams of each document, sorted by n-gram, with their documents; and size and hash of each document's set."""
     count = np.diff(batch.first)
     grams, owner = tokens.ngrams(batch.as_words(), n)
     for short in range(1, n):
@@ -63,7 +69,7 @@ def gram_sets(batch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             grams = np.concatenate([grams, tokens.ngram_hash(batch.hash, batch.first[docs], short)])
             owner = np.concatenate([owner, docs])
     keep = batch.valid[owner]
-    grams, owner = grams[keep] >> np.uint64(16), owner[keep]
+    grams, owner = grams[keep], owner[keep]
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     if len(grams):
@@ -85,7 +91,7 @@ def _cut(n: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in word_batches(batches):
             grams, owner, size, set_hash = gram_sets(batch, n)
-            slot = (grams >> np.uint64(16)) * np.uint64(slots) >> np.uint64(32)
+            slot = (grams >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
             at = np.searchsorted(slot, np.arange(slots + 1))
             has = np.flatnonzero(size)
             if not len(has):
@@ -120,21 +126,22 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _survivors(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Documents of one batch that may have a partner; ``ranks`` are their shared n-grams' places in the global order, sorted."""
+        """Documents of one batch that may have a partner; ``ranks`` are their shared n-grams in the global order, with their orders of magnitude."""
         trim()
         rows = table.to_pylist()
-        place, ids, size, set_hash = next(unpack(r["blob"], 4) for r in rows if r["kind"] == 1)
+        batch, (place, ids, size, set_hash) = next((r["batch"], unpack(r["blob"], 4)) for r in rows if r["kind"] == 1)
         own = [unpack(r["blob"], 3) for r in rows if r["kind"] == 0]
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         if own:
-            owner = np.concatenate([x[1] for x in own])
-            rank = np.concatenate([x[2].astype(np.uint64) << np.uint64(48) | x[0] for x in own])
-            order = np.lexsort((rank, owner))
-            owner, rank = owner[order], rank[order]
+            grams, owner, class_ = (np.concatenate([x[k] for x in own]) for k in range(3))
+            order = np.lexsort((grams, class_, owner))
+            grams, owner, class_ = grams[order], owner[order], class_[order]
             at = np.searchsorted(owner, place)
             shared = np.searchsorted(owner, place, side="right") - at
             for k in np.flatnonzero(shared >= need(size, threshold)):
-                for c, v in zip(out, (int(ids[k].view(np.int64)), int(set_hash[k].view(np.int64)), int(size[k]), pack(rank[at[k] : at[k] + shared[k]])), strict=True):
+                mine = slice(at[k], at[k] + shared[k])
+                # a batch has fewer than 2 ** 20 texts with words
+                for c, v in zip(out, ((batch << 20) + int(k), int(ids[k].view(np.int64)), int(set_hash[k].view(np.int64)), int(size[k]), pack(grams[mine], class_[mine])), strict=True):
                     c.append(v)
         return pa.Table.from_batches([_rows(_SETS, out)])
 
@@ -143,157 +150,220 @@ def _survivors(threshold: float):
 
 def _rare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``(rank, doc_id)`` of each document's least n-grams, of which partners share one."""
+        """``(gram, node)`` of each class's least n-grams, of which partners share one."""
         for batch in batches:
-            ranks, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rank = unpack(blob, 1)[0].view(np.int64)
-                alone = size - len(rank)  # n-grams of one holder come first in the order
-                ranks.append(rank[: size - int(need(size, threshold)) + 1 - alone])
-                ids.append(np.full(len(ranks[-1]), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ranks)), pa.array(np.concatenate(ids))], names=["rank", "doc_id"])
+            grams, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for node, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = unpack(blob, 2)[0].view(np.int64)
+                alone = size - len(own)  # n-grams of one holder come first in the order
+                grams.append(own[: size - int(need(size, threshold)) + 1 - alone])
+                nodes.append(np.full(len(grams[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], names=["gram", "node"])
 
     return run
 
 
-def _segments(fragments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's segments, by hash range of the n-grams."""
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for root, doc, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rank = unpack(blob, 1)[0] & np.uint64((1 << 48) - 1)
-                rank = np.sort(rank)
-                cut = np.searchsorted(rank, [(k << 48) // fragments for k in range(fragments + 1)])
-                for f in range(fragments):
-                    if cut[f + 1] > cut[f]:
-                        for c, v in zip(out, (root, f, doc, size, pack(rank[cut[f] : cut[f + 1]])), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["root", "fragment", "doc_id", "size", "segment"])
-
-    return run
+def overlaps(grams: np.ndarray, owner: np.ndarray, size: np.ndarray, threshold: float, block: int = BLOCK, class_: np.ndarray | None = None, left: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, shared)``, i < j, of sets given as n-grams and their owners; pairs whose sizes alone rule them out are left out.
 
-
-def overlaps(grams: np.ndarray, owner: np.ndarray, size: np.ndarray, threshold: float, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(i, j, shared)``, i < j, of sets given as n-grams and their owners; pairs whose sizes alone rule them out are left out. ``size`` must not fall."""
+    ``class_`` gives n-grams' orders of magnitude. ``size`` must not fall; with ``left``, the first so many sets are compared with the others only, and sizes must not fall in either part.
+    """
     m = len(size)
     order = np.argsort(grams, kind="stable")
     at, length = grouped(grams[order])
+    # columns in the global order, so that a range of them is a fragment of it
+    place = np.empty(len(at), dtype=np.int64)
+    place[np.arange(len(at)) if class_ is None else np.argsort(class_[order[at]], kind="stable")] = np.arange(len(at))
+    several = np.zeros(len(at), dtype=bool)
+    several[place] = length > 1
     column = np.empty(len(grams), dtype=np.int64)
-    column[order] = np.repeat(np.arange(len(at)), length)
-    several = length > 1
+    column[order] = np.repeat(place, length)
     column = np.where(several[column], (np.cumsum(several) - 1)[column], -1)
     owner, column = owner[column >= 0], column[column >= 0]
     wide = int(several.sum())
     if not wide:
         return
-    # rows are in order of size, so that the partners of a row lie in a range
-    last = np.searchsorted(size, size / threshold + 1e-9, side="right")
-    rows_at_once = max(1, min(m, block // m))
-    cols_at_once = max(1, min(wide, block // m))
     by_column = np.argsort(column, kind="stable")
     owner, column = owner[by_column], column[by_column]
+    rows_end, other = (m, 0) if left is None else (left, left)
+    rows_at_once = max(1, min(rows_end, block // m))
+    cols_at_once = max(1, min(-(-wide // FRAGMENTS), block // m))
     cut = np.searchsorted(column, np.arange(0, wide + cols_at_once, cols_at_once))
-    for top in range(0, m, rows_at_once):
-        low = min(m, top + rows_at_once)
-        far = int(last[low - 1])
-        total = np.zeros((low - top, far - top), dtype=np.float32)
+    for top in range(0, rows_end, rows_at_once):
+        low = min(rows_end, top + rows_at_once)
+        # sets are in order of size, so that the partners of these rows lie in a range
+        far = other + int(np.searchsorted(size[other:], size[low - 1] / threshold + 1e-9, side="right"))
+        near = top if left is None else other + int(np.searchsorted(size[other:], size[top] * threshold - 1e-9, side="left"))
+        if far <= near:
+            continue
+        total = np.zeros((low - top, far - near), dtype=np.float32)
         for k in range(len(cut) - 1):
             o, c = owner[cut[k] : cut[k + 1]], column[cut[k] : cut[k + 1]] - k * cols_at_once
-            inside = (o >= top) & (o < far)
-            if not inside.any():
+            inside = (o >= near) & (o < far)
+            above = (o >= top) & (o < low)
+            if not (inside.any() and above.any()):
                 continue
-            held = np.zeros((far - top, cols_at_once), dtype=np.float32)
-            held[o[inside] - top, c[inside]] = 1
-            total += held[: low - top] @ held.T
+            held = np.zeros((far - near, cols_at_once), dtype=np.float32)
+            held[o[inside] - near, c[inside]] = 1
+            if left is None:
+                mine = held[: low - top]
+            else:
+                mine = np.zeros((low - top, cols_at_once), dtype=np.float32)
+                mine[o[above] - top, c[above]] = 1
+            total += mine @ held.T  # the fragment's partial overlaps, added to those before
         i, j = np.nonzero(total)
-        keep = (j > i) & (j + top < last[i + top])
+        a, b = size[i + top], size[j + near]
+        keep = (j + near > i + top) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
         i, j = i[keep], j[keep]
-        yield i + top, j + top, total[i, j].astype(np.int32)
-
-
-def _partial(threshold: float):
+        yield i + top, j + near, total[i, j].astype(np.int32)
+
+
+def connected(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """The least member of each one's connected component, of ``m`` numbers and edges between them."""
+    label = np.arange(m)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        np.minimum.at(label, before[i], least)
+        np.minimum.at(label, before[j], least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _tiles(threshold: float, as_pairs: bool):
     def run(table: pa.Table) -> pa.Table:
-        """What pairs share in one fragment, for the components of one group."""
+        """Classes that are linked inside each tile of a bin: how many texts each is linked to and what it is connected with there; or the pairs."""
         trim()
-        root = table.column("root").to_numpy()
-        size = table.column("size").to_numpy()
-        doc = table.column("doc_id").to_numpy()
-        segment = table.column("segment").to_pylist()
-        order = np.lexsort((doc, size, root))
-        at, length = grouped(root[order])
-        out = [pa.RecordBatch.from_arrays([pa.array([], f) for f in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], names=_PARTIAL.names)]
-        for a, m in zip(at, length, strict=True):
-            if m == 1:
-                continue
+        names = ("root", "low", "high", "part", "size", "node", "doc_id", "copies")
+        root, low, high, part, size, node, doc, copies = (table.column(c).to_numpy() for c in names)
+        ranks = table.column("ranks").to_pylist()
+        order = np.lexsort((node, size, part, high, low, root))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (root, low, high)], axis=0)
+        schema = _PAIRS if as_pairs else _LINKS
+        out = [schema.empty_table()]
+        at = np.flatnonzero(fresh)
+        for a, m in zip(at, np.diff(np.append(at, len(order))), strict=True):
             own = order[a : a + m]
-            grams = [unpack(segment[k], 1)[0] for k in own]
-            owner = np.repeat(np.arange(m), [len(g) for g in grams])
-            for i, j, shared in overlaps(np.concatenate(grams), owner, size[own], threshold):
-                x, y = doc[own[i]], doc[own[j]]
-                swap = x > y
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                out.append(pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[own[i]], doc[own[j]], size[own[i]].astype(np.int32), size[own[j]].astype(np.int32), shared)], names=_PARTIAL.names))
-        return pa.Table.from_batches(out)
+            left = None if low[own[0]] == high[own[0]] else int((part[own] == low[own[0]]).sum())
+            if left is None and m == 1 or left is not None and not 0 < left < m:
+                continue
+            sets = [unpack(ranks[k], 2) for k in own]
+            grams, class_ = (np.concatenate([x[k] for x in sets]) for k in range(2))
+            owner = np.repeat(np.arange(m), [len(x[0]) for x in sets])
+            del sets
+            links, edges = np.zeros(m, np.int64), []
+            for i, j, shared in overlaps(grams, owner, size[own], threshold, class_=class_, left=left):
+                jaccard = shared / (size[own[i]] + size[own[j]] - shared)
+                linked_ = jaccard >= threshold - 1e-12
+                i, j, jaccard = i[linked_], j[linked_], jaccard[linked_]
+                if as_pairs:
+                    x, y = doc[own[i]], doc[own[j]]
+                    out.append(pa.table([np.minimum(x, y), np.maximum(x, y), jaccard], schema=schema))
+                    continue
+                links += np.bincount(i, weights=copies[own[j]], minlength=m).astype(np.int64) + np.bincount(j, weights=copies[own[i]], minlength=m).astype(np.int64)
+                label = connected(i, j, m)  # of these edges, the components are all that is needed
+                edges.append((np.flatnonzero(label != np.arange(m)), label[label != np.arange(m)]))
+            has = np.flatnonzero(links)
+            if not as_pairs and len(has):
+                label = connected(*(np.concatenate([e[k] for e in edges]) for k in range(2)), m)
+                out.append(pa.table([node[own[has]], doc[own[has]], doc[own[label[has]]], links[has]], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)``, ``doc_a < doc_b``: documents whose sets of ``n``-grams have a Jaccard index of at least ``threshold``.
-
-    A class of documents with equal sets is given by its least ``doc_id`` with each other one (index 1), and only that least one is
-    paired with other classes: all other pairs follow from these. So thousands of equal copies give thousands of rows, not millions.
-    """
+def _compared(docs: DataFrame, n: int, threshold: float, as_pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All texts that may have a partner, classes of equal sets, and what was found between classes."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1], n at least 1")
-    spark = docs.sparkSession
-    slots = 2 * parts(spark)
     source = texts_of(docs)
+    slots = exchange_parts(source)
     cut = source.mapInArrow(_cut(n, slots), _PACKED)
     told = cut.groupBy("slot").applyInArrow(_count, _PACKED)
     sets = written(told.groupBy("batch").applyInArrow(_survivors(threshold), _SETS))
 
     # equal sets have equal ranks: a class keeps those of any member
-    classes = written(sets.groupBy("set_hash", "size").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("ranks").alias("ranks")))
-    equal = classes.where("size(ids) > 1").select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b")).where("doc_a < doc_b").withColumn("jaccard", F.lit(1.0))
-    own = classes.select("doc_id", classes["size"].alias("size"), "ranks")
-
-    rare = own.mapInArrow(_rare(threshold), "rank long, doc_id long")
-    stars = rare.join(rare.groupBy("rank").agg(F.min("doc_id").alias("least"), F.count("*").alias("holders")).where("holders > 1"), "rank")
-    roots = components(stars.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    roots = written(roots.select(F.col("node").alias("doc_id"), "root"))
-    tied = own.join(small(roots), "doc_id").select("root", "doc_id", "size", "ranks")
-    segments = tied.mapInArrow(_segments(fragments), "root long, fragment int, doc_id long, size int, segment binary")
-    grouping = [(F.abs(F.hash("root")) % (2 * parts(spark))).alias("bin"), F.col("fragment")]
-    partial = segments.groupBy(*grouping).applyInArrow(_partial(threshold), _PARTIAL)
-    summed = partial.where("a <> b").groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    found = summed.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    classes = written(sets.groupBy("set_hash", "size").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("ranks").alias("ranks")))
+    rare = classes.select("node", "size", "ranks").mapInArrow(_rare(threshold), "gram long, node long")
+    stars = rare.join(rare.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("holders")).where("holders > 1"), "gram")
+    roots = components(stars.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    roots = written(roots.select("node", "root"))
+    tied = written(classes.join(small(roots), "node").select("root", "node", "doc_id", "copies", classes["size"].alias("size"), "ranks"))
+    # large components are cut into blocks
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.octet_length("ranks")) / TILE_BYTES)).cast("int")
+    sizes = tied.groupBy("root").agg(blocks.alias("blocks"), F.sum(F.octet_length("ranks")).alias("bytes"))
+    cost = sizes.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    large = small(sizes.where("blocks > 1").select(F.col("root").alias("large"), "blocks"))
+    placed = tied.join(large, F.col("root") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "size", "node", "doc_id", "copies", "ranks")
+    bins = max(2 * parts(docs.sparkSession), cost // TILE_BYTES)
+    binned = tiles.withColumn("bin", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)))
+    found = binned.groupBy("bin").applyInArrow(_tiles(threshold, as_pairs), "doc_a long, doc_b long, jaccard double" if as_pairs else "node long, doc_id long, near long, links long")
+    return sets, classes, found
+
+
+def _members(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(doc_id, least, node, copies)`` of texts of classes with several."""
+    several = small(classes.where("copies > 1").select("set_hash", "size", F.col("doc_id").alias("least"), F.col("node").alias("class_node"), "copies"))
+    return sets.select("doc_id", "set_hash", sets["size"].alias("size")).join(several, ["set_hash", "size"]).select("doc_id", "least", F.col("class_node").alias("node"), "copies")
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_a, doc_b, jaccard)``: texts whose sets of ``n``-grams have a Jaccard index of at least ``threshold``, one row for each pair of classes.
+
+    A class of texts with equal sets is given by its least ``doc_id`` with each other ``doc_id`` (index 1), and only that least one is
+    paired with other classes: all other pairs follow from these. Where groups of different texts are large, ask for ``linked`` instead. ``doc_a = doc_b`` where different texts share an id.
+    """
+    sets, classes, found = _compared(docs, n, threshold, True)
+    equal = _members(sets, classes).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct().withColumn("jaccard", F.lit(1.0))
     return found.unionAll(equal)
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, kept)``: each document that has a partner, with the least ``doc_id`` of its group (partners of partners are of one group)."""
-    pairs = written(jaccard_pairs(docs, n, threshold))
-    return components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("kept"))
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` of each ``doc_id`` that isn't null, once.
+
+    Two texts are linked if their Jaccard index is at least ``threshold``. ``n_links`` is the number of texts that a document is linked to, copies
+    and all (of a ``doc_id`` with several texts, the sum of theirs). ``class_id`` is the least ``doc_id`` of the group that links, and partners' links, connect; its own for a document without any.
+    """
+    sets, classes, found = _compared(docs, n, threshold, False)
+    found = written(found)
+    members = written(_members(sets, classes))
+    edges = found.select(F.col("doc_id").alias("a"), F.col("near").alias("b")).unionAll(members.select("doc_id", "least"))
+    roots = components(edges)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    # a text of a class has the links of the class, and those to the other copies
+    copies = members.join(small(links.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left").select("doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    single = found.join(small(classes.where("copies > 1").select("node")), "node", "left_anti").select("doc_id", "links")
+    nothing = F.lit(None).cast("long")
+    rows = texts_of(docs).where("doc_id is not null").select("doc_id", nothing.alias("root"), nothing.alias("links"))
+    rows = rows.unionAll(copies.select("doc_id", nothing, "links")).unionAll(single.select("doc_id", nothing, "links")).unionAll(roots.select(F.col("node"), "root", nothing))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("root"), F.col("doc_id")).alias("class_id"), F.coalesce(F.sum("links"), F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document, that of the least ``doc_id``, of each group of near duplicates; rows without a partner stay, whatever they hold."""
-    groups = near_duplicate_groups(docs, n, threshold)
-    return without(docs, written(groups.where("doc_id <> kept").select("doc_id")))
+    """``docs`` with one document, that of the least ``doc_id``, of each group of near duplicates; rows without a partner stay, whatever they hold. Rows that share a ``doc_id`` stay or go together."""
+    sets, classes, found = _compared(docs, n, threshold, False)
+    edges = found.select(F.col("doc_id").alias("a"), F.col("near").alias("b")).unionAll(_members(sets, classes).select("doc_id", "least"))
+    return without(docs, written(components(edges).where("node <> root").select(F.col("node").alias("doc_id"))))
 
 
-def brute_pairs(rows: list[tuple], n: int = N, threshold: float = THRESHOLD) -> set[tuple[int, int]]:
-    """All pairs of ``(doc_id, text)`` by comparing each with each, for tests."""
+def brute_pairs(rows: list[tuple], n: int = N, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """The places of all linked pairs of ``(doc_id, text)``, each compared with each, for tests."""
     import re
 
     sets = {}
-    for doc, text in rows:
+    for k, (doc, text) in enumerate(rows):
         if doc is None or text is None:
             continue
         words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         if words:
-            sets[doc] = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-    ids = sorted(sets)
-    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12 and math.isfinite(threshold)}
+            sets[k] = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+    places = sorted(sets)
+    return [(a, b) for k, a in enumerate(places) for b in places[k + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12 and math.isfinite(threshold)]

@@ -214,7 +214,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     positive = ids.join(known.where("trusted"), F.col("doc_id") == F.col("label_id"), "left_semi").orderBy(*order).limit(sample)
     unlabelled = ids.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").orderBy(*order).limit(sample)
     chosen = positive.select(F.col("doc_id").alias("sampled_id"), F.lit(True).alias("trusted")).unionAll(unlabelled.select("doc_id", F.lit(False)))
-    texts = texts_of(docs).join(small(chosen, 2 * sample), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
+    texts = texts_of(docs).join(small(chosen), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
     rows = _collected(texts.mapInArrow(_featured, "trusted boolean, features array<int>"))
     model = fit(rows[True], rows[False])
     rows.clear()

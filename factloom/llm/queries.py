@@ -24,7 +24,7 @@ def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +91,18 @@ string_agg('<|' || regexp_replace(lower(coalesce(role, 'user')), '[^a-z_]', '_',
 sum(2 + len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')))::BIGINT AS n_tokens
 FROM conversations GROUP BY conv_id""",
         "op3_ngram_jaccard": f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),
-s AS (SELECT min(doc_id) AS least, list(doc_id) AS ids, any_value(gs) AS gs, len(any_value(gs)) AS n FROM (SELECT doc_id, gs, list_sort(gs) AS k FROM g) GROUP BY k),
-x AS (SELECT least, n, unnest(gs) AS gram FROM s),
-p AS (SELECT a.least AS a, b.least AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.gram = b.gram AND a.least < b.least GROUP BY ALL)
-SELECT a AS doc_a, b AS doc_b, c::DOUBLE / (na + nb - c)::DOUBLE AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c)::DOUBLE >= {ngram_join.THRESHOLD} - 1e-12
-UNION ALL SELECT least, doc_b, 1.0::DOUBLE FROM (SELECT least, unnest(ids) AS doc_b FROM s WHERE len(ids) > 1) WHERE doc_b <> least""",
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT r, doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT min(doc_id) AS least, list(doc_id) AS ids, any_value(gs) AS gs, len(any_value(gs)) AS n, row_number() OVER () AS k FROM (SELECT doc_id, gs, list_sort(gs) AS key FROM g) GROUP BY key),
+x AS (SELECT k, n, unnest(gs) AS gram FROM s),
+c AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.gram = b.gram AND a.k < b.k GROUP BY ALL),
+p AS MATERIALIZED (SELECT a, b FROM c WHERE c::DOUBLE / (na + nb - c)::DOUBLE >= {ngram_join.THRESHOLD} - 1e-12),
+both_ AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+l AS (SELECT s.k, any_value(len(s.ids)) - 1 + coalesce(sum(len(o.ids)), 0) AS links FROM s LEFT JOIN both_ ON s.k = both_.a LEFT JOIN s o ON o.k = both_.b GROUP BY s.k),
+m AS MATERIALIZED (SELECT k, least, unnest(ids) AS doc_id FROM s),
+e AS MATERIALIZED (SELECT doc_id AS a, least AS b FROM m UNION SELECT least, doc_id FROM m UNION SELECT s.least, o.least FROM both_ JOIN s ON s.k = both_.a JOIN s o ON o.k = both_.b),
+t(doc_id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, t.root FROM t JOIN e ON t.doc_id = e.a),
+roots AS (SELECT doc_id, min(root) AS root FROM t GROUP BY doc_id),
+n AS (SELECT m.doc_id, sum(l.links)::BIGINT AS links FROM m JOIN l ON m.k = l.k GROUP BY m.doc_id)
+SELECT d.doc_id, coalesce(roots.root, d.doc_id) AS class_id, coalesce(n.links, 0) AS n_links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN roots ON d.doc_id = roots.doc_id LEFT JOIN n ON d.doc_id = n.doc_id""",
     }

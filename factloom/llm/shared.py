@@ -10,11 +10,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a join side that may be broadcast; a longer side is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a join side that may be broadcast; a larger side is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of input for each part of an exchange of packed numbers, at most.
+PART_BYTES = 32 << 20
 
 
 #: Bytes of rows that go to a Python worker at once. Rows are as long as they are; this bounds what is held beside them.
@@ -35,6 +38,14 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, one after the other."""
     for at in range(0, batch.num_rows, rows):
@@ -65,18 +76,37 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows (``rows``, if known, saves the count), else as it is, to be joined by shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _width(kind: T.DataType, column: Column) -> Column:
+    """Bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        each = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+        return F.greatest(F.size(column), F.lit(0)) * each + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``BROADCAST_BYTES``, else as it is, to be joined by shuffle."""
+    width = sum((_width(f.dataType, df[f"`{f.name}`"]) for f in df.schema.fields), F.lit(16)).cast("long")
+    n = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` isn't in the written table ``dropped``; a null ``doc_id`` stays. Columns of ``docs`` stay as they are, whatever their names."""
-    ids = dropped.select(F.col("doc_id").alias("__factloom_dropped"))
-    return docs.join(small(ids), F.col("doc_id") == F.col("__factloom_dropped"), "left_anti")
+    ids = small(dropped.select(F.col("doc_id").alias(free_name(docs, "dropped"))))
+    return docs.join(ids, docs["doc_id"] == ids[ids.columns[0]], "left_anti")
 
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+
+def exchange_parts(df: DataFrame) -> int:
+    """Parts of an exchange over all of ``df``: twice the session's shuffle partitions, and more if the files it reads are so large that a part would exceed ``PART_BYTES``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    # a plan of unknown size says so by a number near the largest long
+    return max(2 * parts(df.sparkSession), -(-size // PART_BYTES) if size < 1 << 60 else 1)
+

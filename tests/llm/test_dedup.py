@@ -50,20 +50,57 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_links(rows, n=ngram_join.N, threshold=ngram_join.THRESHOLD):
+    """``doc_id: (class, links)`` from all pairs of texts."""
+    pairs = ngram_join.brute_pairs(rows, n, threshold)
+    links = {d: 0 for d, _ in rows if d is not None}
+    for a, b in pairs:
+        links[rows[a][0]] += 1
+        links[rows[b][0]] += 1
+    root = {x: min(c) for c in closed([(rows[a][0], rows[b][0]) for a, b in pairs]) for x in c}
+    return {d: (root.get(d, d), k) for d, k in links.items()}
+
+
+def links_of(df):
+    rows = [(r.doc_id, (r.class_id, r.n_links)) for r in df.collect()]
+    assert len(dict(rows)) == len(rows)
+    return dict(rows)
+
+
 def test_op3_equals_brute_force(spark, tables, rows):
-    got = [(r.doc_a, r.doc_b, r.jaccard) for r in queries()["op3_ngram_jaccard"](spark, tables).collect()]
-    assert all(a < b for a, b, _ in got) and len(set(got)) == len(got)
-    assert expanded(got) == ngram_join.brute_pairs([r[:2] for r in rows])
+    got = links_of(queries()["op3_ngram_jaccard"](spark, tables))
+    assert got == brute_links([r[:2] for r in rows]) and any(n for _, n in got.values())
 
 
-@pytest.mark.parametrize("n,threshold", [(1, 0.5), (2, 0.9), (3, 1.0), (2, 0.3)])
-def test_join_at_other_parameters(spark, monkeypatch, n, threshold):
+@pytest.mark.parametrize("n,threshold,members", [(1, 0.5, 2048), (2, 0.9, 5), (3, 1.0, 2048), (2, 0.3, 3), (1, 0.4, 4)])
+def test_join_at_other_parameters(spark, monkeypatch, n, threshold, members):
+    """Also with components that are cut into tiles, and with ids that several different texts share."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
     rnd = random.Random(n)
     base = [[rnd.choice("abcdefghij") for _ in range(rnd.randrange(0, 14))] for _ in range(14)]
-    texts = [(k, " ".join(w if rnd.random() > 0.15 else "x" for w in base[k % 14])) for k in range(42)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.jaccard_pairs(df, n, threshold, fragments=3).collect()]
-    assert expanded(got) == ngram_join.brute_pairs(texts, n, threshold)
+    texts = [(k % 37, " ".join(w if rnd.random() > 0.15 else "x" for w in base[k % 14])) for k in range(42)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert links_of(ngram_join.linked(df, n, threshold)) == brute_links(texts, n, threshold)
+    own = [(k, t) for k, (_, t) in enumerate(texts)]
+    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.jaccard_pairs(spark.createDataFrame(own, "doc_id long, text string"), n, threshold).collect()]
+    assert expanded(got) == set(ngram_join.brute_pairs(own, n, threshold)) and all(j <= 1 for *_, j in got)
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark):
+    texts = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "a b c d e f g h x"), (3, "p q r s t u v w"), (4, "k l m n o")]
+    got = links_of(ngram_join.linked(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each_group(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == [1, 1, 4]
+
+
+def test_connected():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for m in (1, 5, 60):
+        i, j = rnd.integers(0, m, m), rnd.integers(0, m, m)
+        want = {x: min(c) for c in closed(list(zip(i.tolist(), j.tolist(), strict=True))) for x in c}
+        assert [want.get(k, k) for k in range(m)] == ngram_join.connected(i, j, m).tolist()
 
 
 def test_overlaps_in_blocks():
@@ -74,6 +111,10 @@ def test_overlaps_in_blocks():
     owner = np.repeat(np.arange(25), [len(s) for s in sets])
     size = np.array([len(s) for s in sets])
     want = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(25) for j in range(i + 1, 25) if size[i] >= 0.5 * size[j] and set(sets[i]) & set(sets[j])}
+    for left in (7, 20):
+        two = np.concatenate([np.sort(size[:left]), np.sort(size[left:])])
+        got = {(int(a), int(b)): int(c) for i, j, s in ngram_join.overlaps(np.concatenate(sets), owner, two, 0.5, 300, left=left) for a, b, c in zip(i, j, s, strict=True)}
+        assert got == {(a, b): c for (a, b), c in want.items() if a < left <= b}
     for block in (10, 300, 1 << 20):
         got = {(int(a), int(b)): int(c) for i, j, s in ngram_join.overlaps(np.concatenate(sets), owner, size, 0.5, block) for a, b, c in zip(i, j, s, strict=True)}
         assert got == want
@@ -82,11 +123,11 @@ def test_overlaps_in_blocks():
 def test_one_of_each_group_stays_with_all_columns(spark, documents, rows, no_documents):
     out = ngram_join.one_of_each_group(documents)
     assert out.columns == documents.columns
-    groups = closed(ngram_join.brute_pairs([r[:2] for r in rows]))
+    groups = closed([(rows[a][0], rows[b][0]) for a, b in ngram_join.brute_pairs([r[:2] for r in rows])])
     gone = {x for g in groups for x in g if x != min(g)}
     want = sorted((r[0] is None, r[0] or 0) for r in rows if r[0] not in gone)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == want
-    assert ngram_join.one_of_each_group(no_documents).count() == 0 and ngram_join.jaccard_pairs(no_documents).count() == 0
+    assert ngram_join.one_of_each_group(no_documents).count() == 0 and ngram_join.jaccard_pairs(no_documents).count() == 0 and ngram_join.linked(no_documents).count() == 0
 
 
 def spans(df):

@@ -356,7 +356,7 @@ def test_run_equals_brute_force(spark, tables, documents, rows):
     keep = {r.doc_id: r.keep for r in quality.quality_scores(documents, labels).collect() if r.doc_id is not None}
     by_text = {t: keep[d] for d, t, *_ in rows if d is not None}  # the classifier sees texts only
     left = [(d, t, s, n) for d, t, _, s, n in rows if by_text[t]]
-    gone = {x for g in closed(ngram_join.brute_pairs([(d, t) for d, t, *_ in left])) for x in g if x != min(g)}
+    gone = {x for g in closed([(left[a][0], left[b][0]) for a, b in ngram_join.brute_pairs([(d, t) for d, t, *_ in left])]) for x in g if x != min(g)}
     left = [r for r in left if r[0] not in gone]
     cut = {}
     for d, a, b, copy in suffixes.brute_spans(list({(d, tuple(words(t))) for d, t, *_ in left if d is not None and t is not None})):
