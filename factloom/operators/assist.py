@@ -12,6 +12,7 @@ from factloom.functions.text import terms
 from factloom.operators.merge import Graph
 from factloom.operators.query import explain_entity, named, query_facts
 from factloom.operators.rank import TOP, defined_symbols, hybrid, ranked_symbols, relevant_lessons
+from factloom.sources.files import tree_paths
 
 log = logging.getLogger(__name__)
 HEAD = "[graph] Places in the code that this is likely about:"
@@ -37,10 +38,29 @@ def neighbourhoods(symbols: DataFrame, graph: Graph, repo: str | None = None, mo
     return symbols.join(told, ["name", "path"], "left").select("name", "path", F.concat(head, F.when(F.col("told").isNotNull(), F.concat(F.lit(" ("), F.col("told"), F.lit(")"))).otherwise("")).alias("block"))
 
 
-def assist(spark: SparkSession, task: str, graph: Graph | None, *, top: int = TOP, repo: str | None = None, workspace: DataFrame | None = None, proposals: DataFrame | None = None) -> tuple[str, dict]:
+def files_under(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path)`` of the files under a folder, for ``assist``'s ``workspace``; none if there is no such folder."""
+    return spark.createDataFrame([(p,) for p in tree_paths(folder)], "path string")
+
+
+def _proposed(spark: SparkSession, proposals) -> DataFrame:
+    """Semantic proposals as rows of their own; none if they can't be had, as then the lexical ones must do."""
+    schema = "task_id long, name string, path string, place long"
+    if proposals is None:
+        return spark.createDataFrame([], schema)
+    try:
+        rows = (proposals() if callable(proposals) else proposals).select("task_id", "name", "path", "place").collect()
+    except Exception as error:  # an embedder may fail in any way
+        log.warning("no semantic proposals: %s", error)
+        rows = []
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def assist(spark: SparkSession, task: str, graph: Graph | None, *, top: int = TOP, repo: str | None = None, workspace: DataFrame | None = None, proposals=None) -> tuple[str, dict]:
     """The prompt and a report ``{injected, grounded_symbols, lexical_hits, semantic_hits}``.
 
-    ``workspace (path)``: files that can be opened; other places are dropped before the prompt is made. ``proposals``: semantic ones, which come after lexical ones. Any failure leaves the task as it is.
+    ``workspace (path)``: files that can be opened; other places are dropped before the prompt is made. ``proposals``: semantic ones (or a function that gives them), which come after
+    lexical ones; if they fail, the lexical ones stay. Any other failure leaves the task as it is.
     """
     nothing = {"injected": False, "grounded_symbols": 0, "lexical_hits": 0, "semantic_hits": 0}
     if graph is None:
@@ -50,7 +70,7 @@ def assist(spark: SparkSession, task: str, graph: Graph | None, *, top: int = TO
         symbols = defined_symbols(graph, repo)
         best = ranked_symbols(tasks, symbols, top)
         lexical = best.select("task_id", "name", "path", "place")
-        near = proposals.select("task_id", "name", "path", "place") if proposals is not None else lexical.limit(0)
+        near = _proposed(spark, proposals)
         if workspace is not None:
             there = workspace.select("path").distinct()
             lexical, near = lexical.join(there, "path", "left_semi"), near.join(there, "path", "left_semi")
@@ -75,6 +95,8 @@ def grounded_count(prompt: str) -> int:
     return sum(line.startswith("- `") for line in prompt.splitlines())
 
 
+#: Rows of a tool's answer: by default, and at most.
+ROWS, MOST_ROWS = 12, 200
 TOOLS = [
     {"name": "graph_query", "description": "Current facts by subject, predicate, object or repository.", "inputSchema": {"type": "object", "properties": {k: {"type": "string"} for k in ("subject", "predicate", "object", "repo")} | {"limit": {"type": "integer"}}}},
     {"name": "graph_explain", "description": "What a named entity does, and what is done to it.", "inputSchema": {"type": "object", "properties": {"name": {"type": "string"}, "repo": {"type": "string"}}, "required": ["name"]}},
@@ -87,28 +109,40 @@ def shown(row) -> str:
     return f"{row['subject_name']} {row['predicate']} {value} ({row['confidence']:.2f}){sources}"
 
 
+class ToolError(ValueError):
+    """What a tool was asked can't be answered."""
+
+
 def run_tool(graph: Graph | None, name: str, arguments: dict) -> str:
     """A tool's answer as text; failures are answers too."""
+    try:
+        return tool_answer(graph, name, arguments)
+    except Exception as error:  # the caller is a model that reads the answer
+        log.warning("tool %s failed: %s", name, error)
+        return f"memory query failed: {error}"
+
+
+def tool_answer(graph: Graph | None, name: str, arguments: dict) -> str:
+    """A tool's answer as text. A limit that is no positive number is ``ROWS``, a larger one than ``MOST_ROWS`` is that."""
     if graph is None:
         return "memory graph unavailable: there is no store"
+    if not isinstance(arguments, dict):
+        raise ToolError("arguments are an object")
     try:
-        limit = int(arguments.get("limit", 12))
-    except (TypeError, ValueError):
-        limit = 12
-    limit = limit if limit > 0 else 12
-    try:
-        if name == "graph_query":
-            rows = query_facts(graph, subject=arguments.get("subject"), predicate=arguments.get("predicate"), obj=arguments.get("object"), repo=arguments.get("repo"), limit=limit).orderBy(F.col("confidence").desc(), F.col("valid_from").desc(), "fact_id").collect()
-            return "\n".join(map(shown, rows)) or "no facts match that query"
-        if name == "graph_explain":
-            entity, out, into = explain_entity(graph, str(arguments.get("name", "")), arguments.get("repo"), limit=10)
-            found = entity.first()
-            if found is None:
-                return "no facts: unknown entity"
-            return "\n".join([f"{found['kind']} {found['name']}", *map(shown, out.orderBy("fact_id").collect()), *map(shown, into.orderBy("fact_id").collect())])
-    except (PySparkException, TypeError, ValueError) as error:
-        return f"memory query failed: {error}"
-    return f"memory query failed: no tool {name}"
+        limit = int(arguments.get("limit", ROWS))
+    except (TypeError, ValueError, OverflowError):
+        limit = ROWS
+    limit = min(limit, MOST_ROWS) if limit > 0 else ROWS
+    if name == "graph_query":
+        rows = query_facts(graph, subject=arguments.get("subject"), predicate=arguments.get("predicate"), obj=arguments.get("object"), repo=arguments.get("repo"), limit=limit).orderBy(F.col("confidence").desc(), F.col("valid_from").desc(), "fact_id").collect()
+        return "\n".join(map(shown, rows)) or "no facts match that query"
+    if name == "graph_explain":
+        entity, out, into = explain_entity(graph, str(arguments.get("name", "")), arguments.get("repo"), limit=10)
+        found = entity.first()
+        if found is None:
+            return "no facts: unknown entity"
+        return "\n".join([f"{found['kind']} {found['name']}", *map(shown, out.orderBy("fact_id").collect()), *map(shown, into.orderBy("fact_id").collect())])
+    raise ToolError(f"no tool {name}")
 
 
 def ranked_terms(tasks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.confidence import from_support
+from factloom.operators.derive import capped
 
 LEAST, MOST, SUPPORT, CAP = 2, 12, 3, 50_000
 CODE = ("py", "swift", "kt", "ts", "tsx", "js", "go", "rs")
@@ -25,7 +26,7 @@ def pairs(groups: DataFrame, min_support: int = SUPPORT, least: int = LEAST, mos
 
 def facts(pairs_: DataFrame, cap: int = CAP) -> DataFrame:
     """``(subject, object, confidence, support)`` in both directions, of the best supported pairs, which stay whole under the cap."""
-    best = pairs_.orderBy(F.col("support").desc(), "a", "b").limit(cap // 2)
+    best = capped(pairs_, cap // 2, "co-changes", F.col("support").desc(), "a", "b")
     ways = F.explode(F.array(F.struct(F.col("a").alias("subject"), F.col("b").alias("object")), F.struct(F.col("b").alias("subject"), F.col("a").alias("object"))))
     return best.select(ways.alias("way"), from_support(F.col("support")).alias("confidence"), "support").select("way.subject", "way.object", "confidence", "support")
 

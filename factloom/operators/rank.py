@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import NOISE, base_name, folded, term_score, terms
+from factloom.functions.text import NOISE, base_name, folded, terms
 from factloom.operators.merge import Graph
 from factloom.plans.tables import small
 
@@ -26,23 +26,39 @@ def defined_symbols(graph: Graph, repo: str | None = None) -> DataFrame:
     return symbols.join(lines, "entity_id", "left").groupBy("name", "path").agg(F.min("line").alias("line"))
 
 
+def scored(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """``(task_id, item_id, score)`` over 0: two points for each of a task's distinct ``terms`` inside an item's ``strong`` text, one for each inside its ``weak`` text.
+
+    ``asked (task_id, terms)``, ``items (item_id, strong, weak)``. A term is inside a text only where the text has the term's first three letters: distinct terms and distinct
+    texts are joined by these, so no task is laid beside an item that shares nothing with it. Terms have three letters or more.
+    """
+    wanted = asked.select("task_id", F.explode(F.array_distinct("terms")).alias("term"))
+    words = wanted.select("term", F.substring("term", 1, 3).alias("head")).distinct()
+    both = items.select("item_id", F.col("strong").alias("text"), F.lit(2).alias("points")).unionAll(items.select("item_id", "weak", F.lit(1))).distinct().where(F.length("text") >= 3)
+    texts = both.select("text").distinct()
+    heads = texts.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda k: F.substr("text", k, F.lit(3))))).alias("head"))
+    inside = heads.join(small(words), "head").where(F.col("text").contains(F.col("term"))).select("text", "term")
+    points = both.join(inside, "text").groupBy("item_id", "term").agg(F.sum("points").alias("points"))
+    return points.join(small(wanted), "term").groupBy("task_id", "item_id").agg(F.sum("points").cast("int").alias("score"))
+
+
 def ranked_symbols(tasks: DataFrame, symbols: DataFrame, top: int = TOP, floor: int = NAME_FLOOR) -> DataFrame:
     """``(task_id, name, path, line, score, place)``: the best symbols of each of ``tasks (task_id, text)``. Two points for a term in the name, one for a term
     in the file's name; tests, documents and the like don't count. Ties go by name and path."""
-    # lowered once a symbol, below the join, not once a pair and term
-    clean = symbols.where(~F.lower("path").rlike(NOISE)).withColumns({"low_name": F.lower("name"), "low_base": F.lower(base_name(F.col("path")))})
+    clean = symbols.where(~F.lower("path").rlike(NOISE)).select(F.struct("name", "path", "line").alias("item_id"), F.lower("name").alias("strong"), F.lower(base_name(F.col("path"))).alias("weak"))
     asked = tasks.select("task_id", terms(F.col("text")).alias("terms"))
-    # every pair is scored: no key could join a term with the names that it is inside of
-    scored = clean.crossJoin(small(asked)).withColumn("score", term_score(F.col("terms"), F.col("low_name"), F.col("low_base"))).where(F.col("score") >= floor)
+    found = scored(asked, clean).where(F.col("score") >= floor).select("task_id", "item_id.*", "score")
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.col("score").desc(), "name", "path"))
-    return scored.withColumn("place", place).where(F.col("place") <= top).select("task_id", "name", "path", "line", "score", "place")
+    return found.withColumn("place", place).where(F.col("place") <= top).select("task_id", "name", "path", "line", "score", "place")
 
 
 def relevant_lessons(tasks: DataFrame, lessons: DataFrame, top: int = LESSONS, floor: int = LESSON_FLOOR) -> DataFrame:
     """``(task_id, text, score)``: the best distinct texts of ``lessons (topic, text)``; spellings are folded on both sides."""
     asked = tasks.select("task_id", terms(F.col("text")).alias("terms"))
-    scored = lessons.crossJoin(small(asked)).withColumn("score", term_score(F.col("terms"), folded(F.lower(F.coalesce("topic", F.lit("")))), folded(F.lower(F.coalesce("text", F.lit(""))))))
-    best = scored.where(F.col("score") >= floor).withColumn("shown", F.coalesce("text", "topic")).groupBy("task_id", "shown").agg(F.max("score").alias("score"))
+    plain = lambda c: folded(F.lower(F.coalesce(c, F.lit(""))))
+    items = lessons.select(F.struct("topic", "text").alias("item_id"), plain("topic").alias("strong"), plain("text").alias("weak")).distinct()
+    found = scored(asked, items).where(F.col("score") >= floor)
+    best = found.withColumn("shown", F.coalesce("item_id.text", "item_id.topic")).groupBy("task_id", "shown").agg(F.max("score").alias("score"))
     return best.withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy(F.col("score").desc(), "shown"))).where(F.col("n") <= top).select("task_id", F.col("shown").alias("text"), "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,34 @@ BATCH, BEFORE, AFTER = 64, 3, 27
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def http_embedder(endpoint: str, model: str, api_key: str = "none", timeout: float = 120) -> Embedder:
+    """An embedder behind an HTTP service: posts ``{model, input}`` to ``endpoint/embeddings`` and takes ``data[].embedding`` in order of ``index``. Any failure is raised."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": list(texts)}).encode()
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"}
+        with urllib.request.urlopen(urllib.request.Request(f"{endpoint.rstrip('/')}/embeddings", body, headers), timeout=timeout) as answer:
+            rows = json.load(answer)["data"]
+        if len(rows) != len(texts):
+            raise ValueError(f"{len(rows)} vectors for {len(texts)} texts")
+        return [row["embedding"] for _, row in sorted(enumerate(rows), key=lambda x: x[1].get("index", x[0]))]
+
+    return embed
+
+
+def texts_to_index(graph: Graph, files: DataFrame, repo: str | None = None) -> DataFrame:
+    """``(entity_id, text, seq)``: a window of source for each defined symbol, and for each topic its newest lesson."""
+    symbols = window_text(files, defined_symbols(graph, repo))
+    where = graph.entities.where("kind = 'symbol' and path is not null")
+    where = where if repo is None else where.where(F.col("repo") == repo)
+    ids = where.groupBy("name", "path").agg(F.min("entity_id").alias("entity_id"))
+    of_symbols = symbols.join(ids, ["name", "path"]).select("entity_id", "text", F.lit(0).cast("long").alias("seq"))
+    told = graph.current().where("predicate = 'lesson' and object_lit is not null")
+    topics = graph.entities.select(F.col("entity_id").alias("subject_id"), "name")
+    lessons = told.join(topics, "subject_id").select(F.col("subject_id").alias("entity_id"), F.concat_ws("\n", "name", "object_lit").alias("text"), F.col("fact_id").alias("seq"))
+    return of_symbols.unionAll(lessons)
+
+
 def window_text(files: DataFrame, symbols: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """``(name, path, text)``: each symbol's lines around its definition, under a line of name and path. Symbols without a line have the head only."""
     joined = symbols.join(files.select("path", "source"), "path", "left")

@@ -7,11 +7,12 @@ import os
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators.merge import Graph
 from factloom.schemas import ENTITIES, FACTS, PROVENANCE
 
+VECTORS = "entity_id long, model string, dim int, vec array<float>, src_hash string"
 _TABLES = {"entities": ENTITIES, "facts": FACTS, "provenance": PROVENANCE}
 
 
@@ -50,6 +51,22 @@ class Store:
         os.replace(f"{self.root}/{version}.json", f"{self.root}/current.json")
         return version
 
+    def vectors(self) -> DataFrame:
+        """The index of vectors that is kept beside the graph; empty at first."""
+        try:
+            with open(f"{self.root}/vectors.json") as f:
+                return self.spark.read.schema(VECTORS).parquet(f"{self.root}/{json.load(f)['version']}/vectors")
+        except FileNotFoundError:
+            return self.spark.createDataFrame([], VECTORS)
+
+    def save_vectors(self, index: DataFrame) -> None:
+        os.makedirs(self.root, exist_ok=True)
+        version = uuid.uuid4().hex
+        index.select(*(c.split()[0] for c in VECTORS.split(", "))).write.parquet(f"{self.root}/{version}/vectors")
+        with open(f"{self.root}/{version}.json", "w") as f:
+            json.dump({"version": version}, f)
+        os.replace(f"{self.root}/{version}.json", f"{self.root}/vectors.json")
+
     @contextmanager
     def batch(self):
         """The graph to change; assign to ``.graph`` of what it gives. Saved once at the end, not at all after an error. Not to be nested."""

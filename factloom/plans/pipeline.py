@@ -35,7 +35,7 @@ def cochange_candidates(lines: DataFrame, repo: str) -> DataFrame:
     return both.select(F.lit("file").alias("subject_kind"), F.col("subject").alias("subject_name"), F.lit(repo).alias("subject_repo"), F.col("subject").alias("subject_path"), F.lit("co-changed-with").alias("predicate"), F.lit("file").alias("object_kind"), F.col("object").alias("object_name"), "confidence", F.lit("det:git-cochange@1").alias("extractor"), F.lit(f"git:{repo}").alias("origin"), F.concat(F.lit("together in "), F.col("support"), F.lit(" commits")).alias("excerpt"))
 
 
-def build(graph: Graph, tree: DataFrame, now: Column, logs: dict[str, DataFrame] | None = None, notes_: DataFrame | None = None) -> Graph:
+def build(graph: Graph, tree: DataFrame, now: Column, logs: dict[str, DataFrame] | None = None, notes_: DataFrame | None = None, derived: bool = True) -> Graph:
     """The graph after one build over ``tree (repo, path, source)``, change logs by repo, and ``notes (path, text)``.
 
     Facts of files that are gone are closed. Derived facts are derived anew: those that no longer follow are closed, and those that still do
@@ -48,6 +48,8 @@ def build(graph: Graph, tree: DataFrame, now: Column, logs: dict[str, DataFrame]
         parts.append(notes.lesson_facts(notes.note_sections(notes_)))
     graph = consolidated(graph, sequenced(parts), now)
     graph = pruned(graph, tree.select("repo", "path"), now)
+    if not derived:
+        return graph
     base = graph.facts.where(~F.col("extractor").isin(*DERIVED))
     first = cut(derive.all_derived(base, graph.entities))
     graph = rederived(graph, first, now, tuple(x for x in DERIVED if x != "der:tdepends@1"))

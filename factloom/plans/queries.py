@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
-from factloom.operators import cochange, derive, entities, health, merge, query, rank
-from factloom.sources import changes
+from factloom.operators import cochange, derive, entities, health, merge, query, rank, semantic
+from factloom.sources import changes, code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -216,17 +216,17 @@ def reaches_truncated(spark, sf_dir):
     return derive.truncated_sources(part_graph(spark, sf_dir))
 
 
-@registered(f"""{_GRAPH}, r AS (SELECT DISTINCT l_partkey AS node, 'code-' || (l_suppkey % 9)::VARCHAR AS exception FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1),
+@registered(f"""{_GRAPH}, r AS (SELECT DISTINCT l_partkey AS node, 'code-' || (l_suppkey % 40)::VARCHAR AS exception FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1),
 d1 AS (SELECT src, dst AS node, 1 AS depth, [src, dst] AS path FROM e),
 d2 AS (SELECT d.src, e.dst AS node, 2 AS depth, min(list_append(d.path, e.dst)) AS path FROM d1 d JOIN e ON d.node = e.src WHERE e.dst <> d.src AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.src = d.src AND x.node = e.dst) GROUP BY d.src, e.dst),
 d12 AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2),
 d3 AS (SELECT d.src, e.dst AS node, 3 AS depth, min(list_append(d.path, e.dst)) AS path FROM d2 d JOIN e ON d.node = e.src WHERE e.dst <> d.src AND NOT EXISTS (SELECT 1 FROM d12 x WHERE x.src = d.src AND x.node = e.dst) GROUP BY d.src, e.dst),
 met AS (SELECT d.src, r.exception, d.depth, d.path, row_number() OVER (PARTITION BY d.src, r.exception ORDER BY d.depth, d.path) AS k FROM (SELECT * FROM d12 UNION ALL SELECT * FROM d3) d JOIN r ON d.node = r.node),
 best AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY depth, path, exception) AS n FROM met WHERE k = 1)
-SELECT src, exception, depth, round(pow(0.9::DOUBLE, depth), 4) AS confidence, array_to_string(path, ' -> ') AS proof FROM best WHERE n <= 5""")
+SELECT src, exception, depth, round(pow(0.9::DOUBLE, depth), 4) AS confidence, array_to_string(path, ' -> ') AS proof FROM best WHERE n <= 20""")
 def may_raise(spark, sf_dir):
-    raised = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.1").select(F.col("l_partkey").alias("src"), F.concat(F.lit("code-"), F.col("l_suppkey") % 9).alias("exception"))
-    return derive.may_raise(part_graph(spark, sf_dir), raised, per_source=5, total=None)
+    raised = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.1").select(F.col("l_partkey").alias("src"), F.concat(F.lit("code-"), F.col("l_suppkey") % 40).alias("exception"))
+    return derive.may_raise(part_graph(spark, sf_dir), raised, total=None)
 
 
 _LIFTED = f"{_GRAPH}, lifted AS (SELECT a.p_brand AS src, b.p_brand AS dst, count(*) AS support FROM e JOIN part a ON e.src = a.p_partkey JOIN part b ON e.dst = b.p_partkey WHERE a.p_brand <> b.p_brand AND a.p_brand <> '' AND b.p_brand <> '' GROUP BY ALL)"
@@ -332,54 +332,77 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _SPELT = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.SPELLINGS.items()) + " ELSE w END"
 
 
-def _terms_sql(expr: str) -> str:
+def terms_sql(expr: str) -> str:
     listed = f"list_concat(regexp_extract_all(lower({expr}), '[a-z][a-z0-9]*(?:_[a-z0-9]+)+'), regexp_extract_all(lower({expr}), '[a-z]{{3,}}'))"
     return f"list_filter(list_transform({listed}, lambda w: {_SPELT}), lambda w: w NOT IN ({_STOP}))"
 
 
-@registered(f"WITH x AS (SELECT doc_id AS task_id, unnest({_terms_sql('text')}) AS w, generate_subscripts({_terms_sql('text')}, 1) AS k FROM documents), f AS (SELECT task_id, w, min(k) AS k FROM x GROUP BY ALL) SELECT d.doc_id AS task_id, coalesce(string_agg(w, ' ' ORDER BY k), '') AS terms FROM documents d LEFT JOIN f ON d.doc_id = f.task_id GROUP BY d.doc_id")
+@registered(f"WITH x AS (SELECT doc_id AS task_id, unnest({terms_sql('text')}) AS w, generate_subscripts({terms_sql('text')}, 1) AS k FROM documents), f AS (SELECT task_id, w, min(k) AS k FROM x GROUP BY ALL) SELECT d.doc_id AS task_id, coalesce(string_agg(w, ' ' ORDER BY k), '') AS terms FROM documents d LEFT JOIN f ON d.doc_id = f.task_id GROUP BY d.doc_id")
 def task_terms(spark, sf_dir):
     return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.array_join(text.terms(F.col("text")), " ").alias("terms"))
 
 
-@registered("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bcolours\\b', 'colors', 'g'), '(?i)\\bgrey\\b', 'gray', 'g') = text AS same FROM documents")
+@registered("SELECT doc_id, md5(text || ' the colors, greyish gray ' || doc_id || ' CENTREd center. recolour') AS folded FROM documents")
 def fold_terms(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", (text.folded(F.col("text")) == F.col("text")).alias("same"))
+    """Spellings inside a text; none of the documents' own words is one of those."""
+    spelt = F.concat("text", F.lit(" the colours, greyish GREY "), "doc_id", F.lit(" CENTREd centre. recolour"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.folded(spelt)).alias("folded"))
 
 
-@registered(f"""WITH q AS (SELECT item_id AS task_id, list_distinct({_terms_sql('text')}) AS ts FROM benchmark),
-s AS (SELECT DISTINCT lower(p_type) || ' ' || lower(p_name) AS name, 'src/' || lower(p_brand) || '.py' AS path FROM part),
+@registered(f"""WITH b AS (SELECT item_id, text || ' ' || p_type || ' ' || p_brand AS text FROM benchmark JOIN part ON p_partkey = item_id + 1), q AS (SELECT item_id AS task_id, list_distinct({terms_sql('text')}) AS ts FROM b),
+s AS (SELECT DISTINCT lower(p_type) || ' ' || lower(p_name) AS name, CASE WHEN p_size % 5 = 0 THEN 'tests/' WHEN p_size % 5 = 1 THEN 'a/docs/' ELSE 'src/' END || lower(p_brand) || '.py' AS path FROM part),
 x AS (SELECT task_id, s.name, s.path, list_sum(list_transform(ts, lambda w: (CASE WHEN contains(s.name, w) THEN 2 ELSE 0 END) + (CASE WHEN contains(string_split(s.path, '/')[-1], w) THEN 1 ELSE 0 END)))::INTEGER AS score FROM q, s),
-r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, name, path) AS place FROM x WHERE score >= 2)
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, name, path) AS place FROM x WHERE score >= 3 AND path LIKE 'src/%')
 SELECT task_id, name, path, score, place FROM r WHERE place <= 5""")
 def lexical_rank(spark, sf_dir):
-    tasks = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), "text")
-    symbols = t(spark, sf_dir, "part").select(F.concat(F.lower("p_type"), F.lit(" "), F.lower("p_name")).alias("name"), F.concat(F.lit("src/"), F.lower("p_brand"), F.lit(".py")).alias("path"), F.lit(None).cast("int").alias("line")).distinct()
-    return rank.ranked_symbols(tasks, symbols, floor=2).select("task_id", "name", "path", "score", "place")
+    """Tasks that name a part's kind among other words; symbols of tests and documents don't count."""
+    of = t(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("item_id"), "p_type", "p_brand")
+    tasks = t(spark, sf_dir, "benchmark").join(of, "item_id").select(F.col("item_id").alias("task_id"), F.concat_ws(" ", "text", "p_type", "p_brand").alias("text"))
+    folder = F.when(F.col("p_size") % 5 == 0, "tests/").when(F.col("p_size") % 5 == 1, "a/docs/").otherwise("src/")
+    symbols = t(spark, sf_dir, "part").select(F.concat(F.lower("p_type"), F.lit(" "), F.lower("p_name")).alias("name"), F.concat(folder, F.lower("p_brand"), F.lit(".py")).alias("path"), F.lit(None).cast("int").alias("line")).distinct()
+    return rank.ranked_symbols(tasks, symbols).select("task_id", "name", "path", "score", "place")
 
 
-@registered()
+_PROSE = r"""trim(regexp_replace(array_to_string(list_transform(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|\||```)')), lambda x: regexp_replace(x, '^(?:[*+-]|[0-9]+[.)])\s+', '')), ' '), '\s+', ' ', 'g'))"""
+_RULE = r"""WITH p AS (SELECT doc_id, %s AS prose FROM documents),
+x AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(prose, '\*\*(.+?)\*\*', 1), lambda b: regexp_replace(trim(b), ':+$', '')), lambda b: length(b) >= 40 AND contains(b, ' '))[1] AS bold,
+regexp_extract(prose, '(?i)(?:^|[.\n])\s*(?:lesson|rule|(?:the )?discipline)\s*:\s*(.+)', 1) AS marked,
+list_filter(list_transform(string_split(regexp_replace(prose, '([!.?])\s+(["*0-9A-Z`])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda z: trim(z)), lambda z: length(z) >= 40)[1] AS plain FROM p),
+c AS (SELECT doc_id, bold, plain, trim(coalesce(nullif(regexp_extract(marked, '^(.*?[!.?])(?:\s|$)', 1), ''), marked)) AS clause FROM x),
+r AS (SELECT doc_id, trim(replace(coalesce(bold, CASE WHEN length(clause) >= 8 THEN clause END, plain), '**', '')) AS rule FROM c)
+SELECT doc_id, CASE WHEN length(rule) <= 240 THEN rule ELSE rtrim(regexp_replace(substring(rule, 1, 240), ' [^ ]*$', '')) || '…' END AS rule FROM r""" % _PROSE
+
+
+@registered(_RULE)
 def doc_rule_sentence(spark, sf_dir):
-    """The rule sentence of each document: look-behind, which the other engine's expressions lack."""
-    return t(spark, sf_dir, "documents").select("doc_id", text.trimmed(text.rule_sentence(text.prose_of(F.col("text")))).alias("rule"))
+    """The rule sentence of each document."""
+    told = t(spark, sf_dir, "documents").select("doc_id", text.prose_of(F.col("text")).alias("prose")).select("doc_id", text.rule_sentence(F.col("prose")).alias("rule"))
+    return told.select("doc_id", text.trimmed(F.col("rule")).alias("rule"))
 
 
-@registered("SELECT page_id, array_to_string(list_slice(cs, 1, 5), ' ') AS cites FROM (SELECT page_id, list_filter(regexp_extract_all(html, '[A-Za-z0-9_./-]+\\.[A-Za-z]{1,5}:[0-9]+'), lambda x: true) AS cs FROM pages)")
+@registered("SELECT page_id, array_to_string(list_slice(list_concat(['src/m' || page_id || '.py:' || (page_id % 9), 'a.go:7'], CASE page_id % 3 WHEN 0 THEN ['lib/x' || page_id] WHEN 1 THEN ['y.toml', 'u/v:3', 'w/x.rs'] ELSE [] END), 1, 5), ' ') AS cites FROM pages")
 def page_cites(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", F.array_join(text.cites(F.col("html")), " ").alias("cites"))
+    """References among a page's text, which has none of its own: with a line first, then those in back quotes; one that comes twice counts once."""
+    quoted = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("`lib/x"), "page_id", F.lit("` `plain`"))).when(F.col("page_id") % 3 == 1, "`y.toml` or `u/v:3`, `w/x.rs`, `z.c`").otherwise("`two words/x`")
+    body = F.concat(F.replace("html", F.lit("`"), F.lit("'")), quoted, F.lit(" in src/m"), "page_id", F.lit(".py:"), F.col("page_id") % 9, F.lit(", a.go:7 and a.go:7."))
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(text.cites(body), " ").alias("cites"))
 
 
 @registered("SELECT target, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages) GROUP BY target")
 def page_imports(spark, sf_dir):
-    links = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("target"))
-    return links.groupBy("target").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+    """Pages' links as imports of modules, a line each."""
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1), lambda x: F.concat(F.lit('import a from "'), x, F.lit('";')))
+    files = t(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.concat("page_id", F.lit(".ts")).alias("path"), F.array_join(links, "\n").alias("source"))
+    found = code.code_facts(files).where("predicate = 'imports'").select(F.col("object_name").alias("target"), F.col("subject_name").alias("page_id"))
+    return found.groupBy("target").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
-@registered("SELECT min(doc_id) AS entity_id, sha256(text) AS src_hash, count(*) AS copies FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND text IS NOT NULL) GROUP BY text")
+@registered("SELECT doc_id AS entity_id, sha256(text) AS src_hash FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 <> 0)")
 def src_hash_skip(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").where("text is not null").withColumn("src_hash", F.sha2("text", 256))
-    known = docs.join(t(spark, sf_dir, "labels"), "doc_id", "left_semi").select("src_hash")
-    return docs.join(known, "src_hash", "left_anti").groupBy("src_hash").agg(F.min("doc_id").alias("entity_id"), F.count("*").alias("copies"))
+    """What is to be embedded: texts that the index of this model doesn't hold as they are. Of labelled documents, it holds some as they were, and some of another model."""
+    docs = t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("entity_id"), "text")
+    of = docs.join(t(spark, sf_dir, "labels"), F.expr("entity_id = doc_id")).select("entity_id", F.when(F.col("entity_id") % 3 == 0, "other").otherwise("m").alias("model"), F.sha2(F.when(F.col("quality") == 1, F.col("text")).otherwise("old"), 256).alias("src_hash"))
+    return semantic.to_embed(docs, of, "m").select("entity_id", "src_hash")
 
 
 _NEAR = "WITH v AS (SELECT vec_id AS entity_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings), s AS (SELECT q.entity_id AS query_id, v.entity_id, round(list_dot_product(q.vec, v.vec), 4) AS score FROM v q JOIN v ON true), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS place FROM s)"

@@ -2,35 +2,70 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories that hold nothing of the repository's own, at any depth.
-SKIPPED = ("__pycache__", "node_modules", "vendor", "third_party", "build", "dist", "target", "venv", ".venv", ".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".build", "Pods", "DerivedData", "site-packages")
+SKIPPED = frozenset("__pycache__ node_modules vendor third_party build dist out target venv .venv .git .hg .svn .cache .mypy_cache .pytest_cache .ruff_cache .tox .build .gradle .next .nuxt .turbo .yarn .worktrees .clone Pods Carthage DerivedData site-packages coverage bin obj gen generated Generated public www".split())
 CODE = tuple(sorted("c cc cpp cs go h hpp java js jsx kt kts m mm php py rb rs scala sh swift ts tsx vue".split()))
 
 
+def tree_paths(root: str) -> Iterator[str]:
+    """Paths relative to ``root``, in order, of all files but those in skipped directories and in nested checkouts: directories below the root with a ``.git``, which is
+    a directory in clones and a file in worktrees and submodules. Hidden files and names that begin with an underscore count like others."""
+    todo = [""]
+    while todo:
+        at = todo.pop()
+        folders = []
+        try:
+            entries = sorted(os.scandir(os.path.join(root, at)), key=lambda e: e.name)
+        except OSError:  # a directory that can't be read has no files
+            continue
+        for entry in entries:
+            path = f"{at}/{entry.name}" if at else entry.name
+            if entry.is_dir(follow_symlinks=False):
+                if entry.name not in SKIPPED and not os.path.exists(os.path.join(entry.path, ".git")):
+                    folders.append(path)
+            elif entry.is_file():
+                yield path
+        todo.extend(reversed(folders))
+
+
+def is_code(path: str) -> bool:
+    name = path.rsplit("/", 1)[-1]
+    return "." in name and name.rsplit(".", 1)[1].lower() in CODE
+
+
+def _read(root: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sources = []
+            for path in frame.path:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        sources.append(f.read().decode("utf-8", "replace"))
+                except OSError:  # gone since it was listed, or not to be read
+                    sources.append(None)
+            yield frame.assign(source=sources)
+
+    return run
+
+
 def repo_files(spark: SparkSession, root: str, repo: str, only_code: bool = True) -> DataFrame:
-    """``(repo, path, source)``: files under ``root``, paths relative to it. Skipped are the directories above and nested checkouts, directories below the root that hold a ``.git``.
+    """``(repo, path, source)``: files under ``root``, paths relative to it (see ``tree_paths``); with ``only_code``, those of code's endings.
 
-    Bytes that aren't UTF-8 become replacement characters. ``source`` is only read for rows whose path passes.
+    The driver lists names; contents are read where the rows are, so on a cluster the checkout lies in a folder that all executors share. Bytes that aren't
+    UTF-8 become replacement characters; a file that can't be read has a null source.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    prefix = base if "://" in base or base.startswith("file:") else base
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _quoted(prefix.split("://")[-1].replace("file:", "")) + "/", "")
-    listed = files.select(path.alias("path"), "content")
-    parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    nested = listed.where(F.col("path").contains("/.git/")).select(F.regexp_extract("path", r"^(.+?)/\.git/", 1).alias("root")).distinct()
-    kept = listed.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
-    kept = kept.join(F.broadcast(nested), F.col("path").startswith(F.concat("root", F.lit("/"))), "left_anti")
-    if only_code:
-        kept = kept.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*CODE))
-    return kept.select(F.lit(repo).alias("repo"), "path", F.decode("content", F.lit("UTF-8")).alias("source"))
-
-
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in text)
+    base = os.path.abspath(root.removeprefix("file://"))
+    names = [p for p in tree_paths(base) if not only_code or is_code(p)]
+    slices = max(1, min(len(names) // 64 + 1, 4 * spark.sparkContext.defaultParallelism))
+    listed = spark.createDataFrame(pd.DataFrame({"repo": repo, "path": names}, dtype=object), "repo string, path string").repartition(slices)
+    return listed.mapInPandas(_read(base), "repo string, path string, source string")
 
 
 def packages(files: DataFrame) -> DataFrame:
