@@ -7,8 +7,9 @@ tokens for which the placeholder stands: fixed for an image, by seconds for audi
 
 Conversations are rendered turn by turn in order of ``turn``: ``<|role|>`` and the content, each ended by ``<|end|>``. Attachments are numbered through
 the conversation. A null role is ``user``, a null text is empty; a null ``turn`` comes first; a null ``conv_id`` is one conversation. Ties of ``turn`` go by role and
-text, and repeated rows are repeated messages. A part of unknown type, or one without what it needs, is kept as the text that it was. Nothing is left
-out. Markers of the template that stand in a text are escaped, so that no text can end its turn.
+text, and repeated rows are repeated messages. A part of unknown type, or one without what it needs, is kept as the text that it was, character by character; so is one
+whose size is no number from 0 to ``MOST_SIZE``. Halves of surrogate pairs, which JSON can spell, become replacement characters. Nothing is left
+out. Markers of the template that stand in a text are escaped, so that no text can end its turn. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,22 +23,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 IMAGE_TOKENS, AUDIO_TOKENS_PER_SECOND, DOCUMENT_TOKENS_PER_PAGE = 256, 25, 512
+#: Seconds or pages of one part at most.
+MOST_SIZE = 10**9
 
 _REFERENCE = re.compile(r"!\[(image|audio|document):[ ]*([^\]\s]+)(?:[ ]+([0-9]+(?:\.[0-9]+)?))?\]")
 _MARKER = re.compile(r"<\|(?=[a-z_]+(?::[0-9]+)?\|>)")
 
 
+_DECODER = json.JSONDecoder()
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _whole(text: str) -> str:
+    """``text`` as it can be encoded."""
+    return _SURROGATE.sub("\ufffd", text)
+
+
+def _listed(text: str) -> list[dict] | None:
+    """The typed parts of a JSON array, each with the text that it was; None if it isn't one of such parts only."""
+    at = _BLANK.match(text).end() + 1
+    out = []
+    try:
+        while True:
+            start = _BLANK.match(text, at).end()
+            part, at = _DECODER.raw_decode(text, start)
+            if not isinstance(part, dict) or not isinstance(part.get("type"), str):
+                return None
+            out.append(part | {"raw": text[start:at]})
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] == "]":
+                return out if not text[at + 1 :].strip() else None
+            if text[at : at + 1] != ",":
+                return None
+            at += 1
+    except (ValueError, RecursionError):
+        return None
+
+
 def parts_of(text: str | None) -> list[dict]:
     """Typed parts of a message's text."""
     if not text:
         return []
-    if text.lstrip().startswith("["):
-        try:
-            parts = json.loads(text)
-        except (ValueError, RecursionError):
-            parts = None
-        if isinstance(parts, list) and parts and all(isinstance(p, dict) and isinstance(p.get("type"), str) for p in parts):
-            return parts
+    if text.lstrip(" \t\n\r").startswith("[") and (parts := _listed(text)):
+        return parts
     out, at = [], 0
     for m in _REFERENCE.finditer(text):
         if m.start() > at:
@@ -60,13 +89,13 @@ class Visitor:
     def visit(self, part: dict) -> None:
         method = getattr(self, f"visit_{part['type']}", None) if part["type"] in ("text", "image", "audio", "document") else None
         if method is None or not method(part):
-            self.visit_text({"text": part.get("raw") or json.dumps(part, ensure_ascii=False, sort_keys=True)})
+            self.visit_text({"text": part["raw"]})
 
     def visit_text(self, part: dict) -> bool:
         text = part.get("text")
         if not isinstance(text, str):
             return False
-        self.pieces.append(_MARKER.sub("<\\|", text))
+        self.pieces.append(_MARKER.sub("<\\|", _whole(text)))
         self.tokens += len(text.split())
         return True
 
@@ -83,7 +112,7 @@ class Visitor:
         size = part.get("size")
         if size is None:
             size = 1
-        if isinstance(size, bool) or not isinstance(size, (int, float)) or not math.isfinite(size) or size < 0:
+        if isinstance(size, bool) or not isinstance(size, (int, float)) or not 0 <= size <= MOST_SIZE:
             return None
         return max(1, math.ceil(size * rate))
 
@@ -92,7 +121,7 @@ class Visitor:
         if not isinstance(ref, str) or not ref or tokens is None:
             return False
         number = len(self.attachments)
-        self.attachments.append({"number": number, "kind": kind, "ref": ref, "tokens": tokens})
+        self.attachments.append({"number": number, "kind": kind, "ref": _whole(ref), "tokens": tokens})
         self.pieces.append(f"<|{kind}:{number}|>")
         self.tokens += tokens
         return True

@@ -30,6 +30,8 @@ MASKS = ("111010010111", "110110101011", "101100111101")
 MATCHED, SHARE, PENALTY = 12, 0.8, 2
 #: Words of a part of the benchmark; a longer benchmark is joined part by part.
 INDEX_WORDS = 2_000_000
+#: Words of diagonals that are laid upon each other at once; bounds memory, never results.
+CELLS = 1 << 21
 _BITS = 22
 _FOUND = "doc_id long, item_id long, start_word int, n_words int, matched int"
 
@@ -68,7 +70,7 @@ class Index:
 
     def overlaps(self, w: tokens.Words) -> list[tuple[int, int, int, int, int]]:
         """``(document, item, start, words, matched)``: the best overlap of each document and item that have one."""
-        diagonals = set()
+        found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
         for mask, key, item, place, sieve in self.masks:
             at, owner = tokens.windows(w, len(mask))
             if not len(at) or not len(key):
@@ -76,24 +78,74 @@ class Index:
             own = seeds(w.hash, at, mask)
             maybe = np.flatnonzero(sieve[own >> np.uint64(64 - _BITS)])
             low, high = np.searchsorted(key, own[maybe], side="left"), np.searchsorted(key, own[maybe], side="right")
-            hits = high - low
-            k = np.repeat(maybe, hits)
-            entry = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)
-            if len(k):
-                diagonals.update(zip(owner[k].tolist(), item[entry].tolist(), (at[k] - w.first[owner[k]] - place[entry]).tolist(), strict=True))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, shift in sorted(diagonals):
-            text, passage = w.hash[w.first[d] : w.first[d + 1]], self.hash[self.first[i] : self.first[i + 1]]
-            begin, end = max(0, -shift), min(len(passage), len(text) - shift)
-            same = passage[begin:end] == text[begin + shift : end + shift]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -self.penalty))])
-            gain = sums - np.minimum.accumulate(sums)
-            stop = int(np.argmax(gain))
-            start = int(np.argmin(sums[: stop + 1]))
-            matched = int(same[start:stop].sum())
-            if matched >= self.least[i] and (matched, -(begin + shift + start)) > (best.get((d, i), (0,))[0], -best.get((d, i), (0, 0))[1]):
-                best[d, i] = (matched, begin + shift + start, stop - start)
-        return [(d, i, start, n, matched) for (d, i), (matched, start, n) in sorted(best.items())]
+            upto = np.cumsum(high - low)
+            begin = 0
+            while begin < len(maybe):  # so many hits at once; a diagonal that is hit often counts once
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + CELLS)))
+                hits = (high - low)[begin:end]
+                k = np.repeat(maybe[begin:end], hits)
+                entry = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[begin:end], hits)
+                found.append(_distinct(np.stack([owner[k], item[entry], at[k] - w.first[owner[k]] - place[entry]])))
+                begin = end
+        diagonals = _distinct(np.concatenate(found, axis=1))
+        best: list[np.ndarray] = [np.zeros((6, 0), np.int64)]
+        d, i, shift = diagonals
+        from_ = np.maximum(0, -shift)
+        length = np.minimum(np.diff(self.first)[i], np.diff(w.first)[d] - shift) - from_
+        upto, begin = np.cumsum(length + 1), 0
+        while begin < len(d):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + CELLS)))
+            part = slice(begin, end)
+            best.append(self._laid(w, d[part], i[part], shift[part], from_[part], length[part]))
+            begin = end
+        d, i, start, n, matched, shift = np.concatenate(best, axis=1)
+        order = np.lexsort((shift, start, -matched, i, d))
+        d, i, start, n, matched = (x[order] for x in (d, i, start, n, matched))
+        first = np.ones(len(d), dtype=bool)
+        first[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        return list(zip(*(x[first].tolist() for x in (d, i, start, n, matched)), strict=True))
+
+    def _laid(self, w: tokens.Words, d, i, shift, from_, length) -> np.ndarray:
+        """``(document, item, start, words, matched, shift)`` of diagonals whose best stretch counts; all are laid upon each other at once, one behind the other."""
+        size = length + 1  # a sum before the first word, too
+        at = np.cumsum(size) - size
+        line = np.repeat(np.arange(len(d)), size)
+        k = np.arange(len(line)) - at[line]
+        inside = k > 0
+        of, step = line[inside], k[inside] - 1 + from_[line[inside]]
+        same = self.hash[self.first[i[of]] + step] == w.hash[w.first[d[of]] + step + shift[of]]
+        gain = np.zeros(len(line), np.int64)
+        gain[inside] = np.where(same, 1, -self.penalty)
+        sums = np.cumsum(gain)
+        sums -= sums[at][line]
+        # lower by more than a line can fall, so that each line's least sum begins anew
+        drop = np.int64((self.penalty + 1) * (int(size.max(initial=0)) + 1)) * line
+        least = np.minimum.accumulate(sums - drop) + drop
+        rise = sums - least
+        most = np.maximum.reduceat(rise, at)
+        stop = _first_of(rise == most[line], line)
+        start = _first_of(sums == least[stop][line], line)
+        ok = np.zeros(len(line), np.int64)
+        ok[inside] = same
+        matches = np.cumsum(ok)
+        matched = matches[stop] - matches[start]
+        keep = matched >= self.least[i]
+        rows = np.stack([d, i, from_ + shift + start - at, stop - start, matched, shift])
+        return rows[:, keep]
+
+
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    """Distinct columns of three rows, sorted."""
+    columns = columns[:, np.lexsort(columns[::-1])]
+    fresh = np.ones(columns.shape[1], dtype=bool)
+    fresh[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    return columns[:, fresh]
+
+
+def _first_of(flags: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The first place of each line that has a flag; each has one."""
+    at = np.flatnonzero(flags)
+    return at[np.concatenate([[True], line[at][1:] != line[at][:-1]])] if len(at) else at
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:

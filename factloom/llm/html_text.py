@@ -6,7 +6,8 @@ at a surge, a block of at least ``surge`` characters in more than one line or a
 empty stretch of ``width`` lines begins, or the end of the page. The text between is kept, from each surge to its dive. On a page without
 such a block, the longest block is the surge.
 
-A null page gives null; a page without text gives an empty text. Unclosed invisible parts reach to the end of the page. Rows are handled one by one, so repeated rows give repeated results.
+A null page gives null; a page without text gives an empty text. Unclosed invisible parts reach to the end of the page, but a head ends where the body begins; a tag without its
+closing bracket is text. The work is in proportion to the page. Rows are handled one by one, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from factloom.llm.shared import bounded, pieces
 
 WIDTH, SURGE, LONG = 3, 86, 258
 
-_INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 #: Elements that break lines; those of a page's frame leave a gap as wide as a block, as they stand apart from the text around them.
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6]|blockquote|pre|figure|figcaption|section|body|html|form|address|center|fieldset)\b[^>]*>", re.I)
 _FRAME = re.compile(r"</?(?:nav|header|footer|aside|menu|main|article)\b[^>]*>", re.I)
@@ -37,11 +38,16 @@ _SPACE = re.compile(r"[^\S\n]+")
 
 def lines_of(page: str, width: int = WIDTH) -> list[str]:
     """Lines of text of a page, empty ones among them."""
-    text = _INVISIBLE.sub(" ", page.replace("\x01", " "))
+    page = page.replace("\x01", " ").replace("\x02", " ")
+    # behind the last bracket no tag ends, and an expression that looks for an end would look again from each beginning
+    last = page.rfind(">") + 1
+    rest, comment, _ = page[last:].partition("<!--")
+    page = page[:last] + rest.replace("<", "\x02") + (f"{comment}-->" if comment else "")
+    text = _INVISIBLE.sub(" ", page)
     text = "".join(part if k % 2 else _SOURCE_SPACE.sub(" ", part) for k, part in enumerate(_PRE.split(text)))
     text = _FRAME.sub("\n" * (width + 1), text)
     text = _BREAKS.sub("\n", _TAG.sub("", _BLOCK.sub("\x01", text)))
-    text = html.unescape(text).replace("\r\n", "\n").replace("\r", "\n")
+    text = html.unescape(text.replace("\x02", "<")).replace("\r\n", "\n").replace("\r", "\n")
     return [line.strip() for line in _SPACE.sub(" ", text).split("\n")]
 
 

@@ -56,8 +56,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.withColumn("attachments", F.to_json("attachments"))
 
 
+def _with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, to each message of which an attachment of some kind is added, or a list of typed parts is made of it."""
+    n = (F.col("turn") + F.col("conv_id")) % 5
+    number = F.concat("conv_id", F.lit("_"), "turn")
+    listed = F.concat(F.lit('[{"type": "document", "ref": "d'), number, F.lit('", "size": 3}, {"type": "odd", "b": 1, "a": 2}, {"type": "text", "text": "and that"}]'))
+    shown = F.when(n == 0, F.concat("text", F.lit(" ![image: i"), number, F.lit(".png]"))).when(n == 1, F.concat(F.lit("![audio: a"), number, F.lit(".wav 2.5] "), "text")).when(n == 2, F.concat("text", F.lit(" ![document: d"), number, F.lit(" 1e9]"))).when(n == 3, listed).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").withColumn("text", shown)
+
+
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over messages that hold parts of every type: tokens and attachments of each conversation."""
+    formatted = chat.formatted(_with_parts(spark, sf_dir))
+    return formatted.select("conv_id", "n_messages", "n_tokens", F.md5("text").alias("digest"), F.to_json("attachments").alias("attachments"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"chat_parts": chat_parts}
 
 
 #: DuckDB's ASCII words of a text, as ``tokens`` has them: lower-cased ASCII letters, digits, and any other non-ASCII character.
@@ -90,6 +105,14 @@ string_agg('<|' || regexp_replace(lower(coalesce(role, 'user')), '[^a-z_]', '_',
 '[]' AS attachments,
 sum(2 + len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')))::BIGINT AS n_tokens
 FROM conversations GROUP BY conv_id""",
+        "chat_parts": """
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, text AS t, (turn + conv_id) % 5 AS n, conv_id || '_' || turn AS k FROM conversations),
+a AS (SELECT *, CASE n WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 3 THEN 'document' END AS kind, CASE n WHEN 0 THEN 256 WHEN 1 THEN 63 WHEN 3 THEN 1536 ELSE 0 END AS worth FROM m),
+b AS (SELECT *, count(kind) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS number FROM a),
+c AS (SELECT *, '<|' || kind || ':' || number || '|>' AS mark, CASE n WHEN 3 THEN '{"type": "odd", "b": 1, "a": 2}and that' WHEN 2 THEN t || ' ![document: d' || k || ' 1e9]' ELSE t END AS told FROM b)
+SELECT conv_id, count(*)::INTEGER AS n_messages, sum(2 + worth + len(regexp_extract_all(CASE n WHEN 3 THEN '{"type": "odd", "b": 1, "a": 2} and that' ELSE told END, '[^\\s]+')))::BIGINT AS n_tokens,
+md5(string_agg('<|' || regexp_replace(lower(role), '[^a-z_]', '_', 'g') || '|>' || chr(10) || CASE n WHEN 0 THEN told || ' ' || mark WHEN 1 THEN mark || ' ' || told WHEN 3 THEN mark || told ELSE told END || '<|end|>' || chr(10), '' ORDER BY turn)) AS digest,
+coalesce('[' || string_agg('{"number":' || number || ',"kind":"' || kind || '","ref":"' || CASE n WHEN 0 THEN 'i' || k || '.png' WHEN 1 THEN 'a' || k || '.wav' ELSE 'd' || k END || '","tokens":' || worth || '}', ',' ORDER BY turn) FILTER (WHERE kind IS NOT NULL) || ']', '[]') AS attachments FROM c GROUP BY conv_id""",
         "op3_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT r, doc_id, CASE WHEN len(ws) < {ngram_join.N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {ngram_join.N - 2}), lambda i: array_to_string(ws[i:i + {ngram_join.N - 1}], ' '))) END AS gs FROM w WHERE len(ws) > 0),

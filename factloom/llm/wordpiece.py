@@ -25,6 +25,8 @@ from factloom.llm import tokens
 from factloom.llm.shared import texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes beyond which a word is walked alone, byte by byte: a step of all words together costs much where few are left.
+LONG = 256
 _DEAD = 0  # the failure link of a node whose front no piece begins
 
 
@@ -84,6 +86,7 @@ class Automaton:
             left = left[self.table[slot] != left]
             self.longest += 1
         self.fail, self.popped = np.array(fail, dtype=np.int32), np.array(popped, dtype=np.int32)
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int64)
@@ -103,8 +106,42 @@ class Automaton:
                 break
         return out
 
+    def _go(self, node: int, byte: int) -> tuple[int, int]:
+        """The node after a byte, dead if no piece goes on, and the pieces popped on the way."""
+        key, count, at = node << 8 | byte, 0, node
+        while at != _DEAD:
+            child = int(self.step(np.array([at], np.int32), np.array([byte], np.int32))[0])
+            if child >= 0:
+                at = child
+                break
+            count, at = count + int(self.popped[at]), int(self.fail[at])
+        if len(self.known) > 1 << 20:
+            self.known.clear()
+        self.known[key] = found = (at, count)
+        return found
+
+    def count(self, word: bytes) -> int:
+        """Pieces of one word, however long, in one walk."""
+        node, total, known = 1, 0, self.known
+        for byte in word:
+            node, more = known.get(node << 8 | byte) or self._go(node, byte)
+            if node == _DEAD:
+                return 1
+            total += more
+        while node != 1:
+            total, node = total + int(self.popped[node]), int(self.fail[node])
+            if node == _DEAD:
+                return 1
+        return total
+
     def counts(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, prefix: bytes = b" ") -> np.ndarray:
         """Pieces of each of the words ``prefix + raw[start:start + length]``; 1 for a word with no such pieces, 0 for an empty string."""
+        if (long := np.flatnonzero(length > LONG)).size:
+            out = np.empty(len(start), dtype=np.int64)
+            short = np.flatnonzero(length <= LONG)
+            out[short] = self.counts(raw, start[short], length[short], prefix)
+            out[long] = [self.count(prefix + raw[start[k] : start[k] + length[k]].tobytes()) for k in long]
+            return out
         n = len(start)
         node, count, known = np.ones(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
         order = np.argsort(-length, kind="stable")
