@@ -1,7 +1,7 @@
 """A training corpus from ``documents``, in stages.
 
 Each stage takes the documents that the one before it kept, and works on all of them. What a stage keeps has the columns of its input;
-the last one adds the number of copies.
+the last one adds the number of ``copies``.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture draws, with ``copies``; ``doc_id`` and ``source`` as they are, no texts."""
-    return mixing.mixed(docs).select("doc_id", "source", "copies")
+    """Documents that the mixture draws, with all that they hold and the number of their ``copies``."""
+    return mixing.drawn_documents(docs)
 
 
 STAGES = [
