@@ -94,11 +94,12 @@ SELECT doc_id, source, certain, (place <= room)::BIGINT AS drawn, certain + (pla
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, trim(unnest(ls), ' ') AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 o AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, p ORDER BY k) AS again FROM l WHERE p <> ''),
 d AS (SELECT doc_id, p, again, ('0x' || substring(md5(CASE WHEN again = 1 THEN p ELSE p || chr(10) || again::VARCHAR END), 1, 15))::BIGINT AS digest FROM o),
-a AS (SELECT documents.doc_id, coalesce(list(digest ORDER BY digest) FILTER (WHERE digest IS NOT NULL), []) AS ds, min(digest) FILTER (WHERE again = 1 AND length(p) >= {fingerprints.ANCHOR_CHARS}) AS anchor FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id GROUP BY documents.doc_id),
-v AS (SELECT doc_id, ds, CASE WHEN anchor IS NOT NULL THEN lag(doc_id) OVER w END AS version_of, lag(ds) OVER w AS before FROM a WINDOW w AS (PARTITION BY anchor ORDER BY doc_id))
-SELECT doc_id, len(ds)::INTEGER AS n_paragraphs, version_of,
-CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(ds, lambda x: NOT list_contains(before, x)), ',') END AS added,
-CASE WHEN version_of IS NOT NULL THEN array_to_string(list_filter(before, lambda x: NOT list_contains(ds, x)), ',') END AS removed FROM v""",
+a AS (SELECT documents.doc_id, coalesce(list(digest ORDER BY digest) FILTER (WHERE digest IS NOT NULL), []) AS ds FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id GROUP BY documents.doc_id),
+v AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY digest ORDER BY doc_id) AS before FROM d WHERE again = 1 AND length(p) >= {fingerprints.LONG_CHARS}),
+b AS (SELECT doc_id, before FROM (SELECT doc_id, before, count(*) AS n FROM v WHERE before IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, before DESC) = 1),
+x AS (SELECT a.doc_id, a.ds, b.before, o.ds AS old, list_filter(a.ds, lambda x: NOT list_contains(o.ds, x)) AS added, list_filter(o.ds, lambda x: NOT list_contains(a.ds, x)) AS removed FROM a LEFT JOIN b ON a.doc_id = b.doc_id LEFT JOIN a o ON o.doc_id = b.before),
+y AS (SELECT *, before IS NOT NULL AND 2 * (len(ds) - len(added)) >= least(len(ds), len(old)) AS alike FROM x)
+SELECT doc_id, len(ds)::INTEGER AS n_paragraphs, CASE WHEN alike THEN before END AS version_of, CASE WHEN alike THEN array_to_string(added, ',') END AS added, CASE WHEN alike THEN array_to_string(removed, ',') END AS removed FROM y""",
         "op10_chat_format": """
 SELECT conv_id, count(*)::INTEGER AS n_messages,
 string_agg('<|' || regexp_replace(lower(coalesce(role, 'user')), '[^a-z_]', '_', 'g') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
