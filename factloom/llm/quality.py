@@ -1,7 +1,7 @@
 """Quality classifier from trusted positives and unlabelled web text (positive-unlabelled learning).
 
 A linear scorer over binary features (hashed words, hashed beginnings of words, and how texts are written: shares of punctuation, capitals, digits, bars and line
-ends, word and text lengths, repeated words) is trained on the driver, on documented samples, by minimising the non-negative unbiased risk
+ends, word and text lengths, repeated words) is trained by minimising the non-negative unbiased risk
 
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)])
 
@@ -10,10 +10,13 @@ prior is estimated from positives and unlabelled documents alone: for a scorer t
 unlabelled that score above a threshold over the share of held-out positives that do bounds it, and the least such ratio is taken.
 A document is kept if its score reaches the threshold, at which ``1 - LOST`` of the held-out positives stay.
 
-The samples are the rows of least hash of ``doc_id``, so the same input gives the same model. Scores are computed for all documents, over whole texts.
+The trusted positives are a bounded sample, ``SAMPLE`` rows of least hash of ``doc_id``. Unlabelled documents are all of them: features are counted over all, the risk is
+minimised in blocks of ``BLOCK`` unlabelled documents, each against all positives of the sample, whose weights are averaged, and the prior is read from the scores of all that are held out (a third).
+Features of documents are written once in the shared folder. Rows are sorted inside blocks, so the same input gives the same model. Scores are computed for all documents, over whole texts.
 
 Null texts and texts without words have no word features and are scored by their form. A null label says nothing; repeated
-labels must agree to be trusted. If there is no positive or no unlabelled document, there is no model: every score is null and every document is kept.
+labels must agree to be trusted. A null ``doc_id`` is scored, but not learnt from. With fewer than three positives or three unlabelled documents, or no feature that tells them apart, there is no model: every
+score is null and every document is kept. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,21 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
-from factloom.llm.packs import grouped, trim
-from factloom.llm.shared import bounded, pieces, small, texts_of
+from factloom.llm.packs import grouped, pack, trim, unpack
+from factloom.llm.shared import bounded, pieces, small, texts_of, written
 
-#: Documents of either kind that the model is fitted to, at most. The only bound: scoring and threshold see whatever comes.
+#: Trusted positives that the model is fitted to, at most. The only bound: all unlabelled documents are learnt from, and all documents are scored.
 SAMPLE = 24_000
+#: Unlabelled documents of a block; blocks are fitted side by side.
+BLOCK = 15_000
 #: Share of held-out positives that the threshold may lose.
 LOST = 0.003
 WORD_BITS = 20
 #: Bytes of a word's beginning.
 PREFIX = 5
-#: Documents of the samples that must have a feature for it to be learnt.
+#: Documents that must have a feature for it to be learnt.
 LEAST_HOLDERS = 12
 #: Standard errors by which a feature's shares among positives and unlabelled must differ for it to be learnt.
-SIGNIFICANT = 6.0
-EPOCHS, RATE, DECAY = 400, 0.05, 1e-5
+SIGNIFICANT = 5.0
+EPOCHS, RATE, DECAY = 300, 0.05, 1e-5
 
 _FORM = 16
 _WIDTH = (1 << WORD_BITS) + 10 * _FORM
@@ -108,13 +113,16 @@ class Model:
 
 
 class _Set:
-    """Documents as rows of features; every third one is held out."""
+    """Documents as rows of learnt features, given as their numbers, not falling, and the features."""
 
-    def __init__(self, rows: list[np.ndarray], columns: np.ndarray):
-        learnt = [c[c >= 0] for c in (columns[r] for r in rows)]
-        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in learnt])
-        self.bucket, self.n = np.concatenate(learnt), len(rows)
-        self.held = np.arange(len(rows)) % 3 == 2
+    def __init__(self, owner: np.ndarray, bucket: np.ndarray, held: np.ndarray):
+        self.owner, self.bucket, self.held, self.n = owner.astype(np.int32), bucket, held, len(held)
+
+    def fitted(self) -> _Set:
+        """The rows that aren't held out."""
+        place = np.cumsum(~self.held) - 1
+        inside = ~self.held[self.owner]
+        return _Set(place[self.owner[inside]], self.bucket[inside], np.zeros(int((~self.held).sum()), dtype=bool))
 
     def scores(self, weights, bias):
         return _sums(weights, self.owner, self.bucket, self.n) + bias
@@ -127,99 +135,171 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+def slope(positive: _Set, unlabelled: _Set, width: int, theta: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
+    """What is followed downwards from weights and bias ``theta``: the gradient of the risk, or the other way that of its second term where this is negative; and that term.
+    Without a prior, the gradient of the loss of telling the two kinds apart."""
+    gp, gu = positive.scores(theta[:-1], theta[-1]), unlabelled.scores(theta[:-1], theta[-1])
+    up, down_p, down_u = -_logistic(-gp) / positive.n, _logistic(gp) / positive.n, _logistic(gu) / unlabelled.n  # slopes of loss(g) and loss(-g)
+    negative = 0.0
+    if prior is None:
+        dp, du = up, down_u
+    else:
+        negative = float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+        dp, du = (prior * (up - down_p), down_u) if negative >= 0 else (prior * down_p, -down_u)
+    return np.append(positive.gradient(dp, width) + unlabelled.gradient(du, width), dp.sum() + du.sum()), negative
+
+
 def _descend(positive: _Set, unlabelled: _Set, width: int, prior: float | None, epochs: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over all rows that aren't held out: of the non-negative risk, or of telling the two apart if ``prior`` is None."""
+    """Weights and bias by Adam over all rows: of the non-negative risk, or of telling the two apart if ``prior`` is None. Steps shrink to nothing, and the last third's weights
+    are averaged, as the risk's second term goes to and fro about zero."""
     theta = np.zeros(width + 1)
-    mean, square = np.zeros(width + 1), np.zeros(width + 1)
-    wp, wu = (~positive.held) / (~positive.held).sum(), (~unlabelled.held) / (~unlabelled.held).sum()
+    mean, square, total = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    late = epochs - max(1, epochs // 3)
     for step in range(1, epochs + 1):
-        gp, gu = positive.scores(theta[:-1], theta[-1]), unlabelled.scores(theta[:-1], theta[-1])
-        up, down_p, down_u = -_logistic(-gp) * wp, _logistic(gp) * wp, _logistic(gu) * wu  # slopes of loss(g) and loss(-g)
-        if prior is None:
-            dp, du = up, down_u
-        else:
-            negative = np.logaddexp(0, gu) @ wu - prior * (np.logaddexp(0, gp) @ wp)
-            dp, du = (prior * (up - down_p), down_u) if negative >= 0 else (prior * down_p, -down_u)
-        slope = np.append(positive.gradient(dp, width) + unlabelled.gradient(du, width) + DECAY * theta[:-1], dp.sum() + du.sum())
-        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
-        theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        way, _ = slope(positive, unlabelled, width, theta, prior)
+        way[:-1] += DECAY * theta[:-1]
+        mean, square = 0.9 * mean + 0.1 * way, 0.99 * square + 0.01 * way**2
+        theta -= RATE * (1 - (step - 1) / epochs) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        if step > late:
+            total += theta
+    theta = total / (epochs - late)
     return theta[:-1], float(theta[-1])
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Least ratio of shares of unlabelled and of positive scores above a threshold that keeps a fifth of the positives or more."""
-    cuts = np.quantile(positive, np.linspace(0, 0.8, 33))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
-    return float(np.clip((above(unlabelled) / above(positive)).min(), 0.05, 0.99))
+def prior_cuts(positive: np.ndarray) -> np.ndarray:
+    """Thresholds that keep a fifth of the positives or more."""
+    return np.quantile(positive, np.linspace(0, 0.8, 33))
 
 
-def _holders(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(_WIDTH, dtype=np.int64)
-    for row in rows:
-        out[row] += 1  # a row's features are distinct
-    return out
+def least_ratio(positive: np.ndarray, cuts: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Least ratio of shares of unlabelled and of positive scores above a threshold, given the unlabelled shares."""
+    above = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    return float(np.clip((unlabelled / above).min(), 0.05, 0.99))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], epochs: int = EPOCHS) -> Model | None:
-    """A model from the features of trusted positives and of unlabelled documents; None if there are fewer than three of either."""
-    if min(len(positive), len(unlabelled)) < 3:
-        return None
-    n, m = len(positive), len(unlabelled)
-    held_p, held_u = _holders(positive), _holders(unlabelled)
-    # features that both kinds have about equally often tell nothing, and hundreds of them in a text would drown those that do
-    share = (held_p + held_u) / (n + m)
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-    learnt = np.flatnonzero((held_p + held_u >= LEAST_HOLDERS) & (np.abs(held_p / n - held_u / m) >= SIGNIFICANT * spread))
-    columns = np.full(_WIDTH, -1, dtype=np.int32)
-    columns[learnt] = np.arange(len(learnt))
-    p, u = _Set(positive, columns), _Set(unlabelled, columns)
-    weights, bias = _descend(p, u, len(learnt), None, max(1, epochs // 3))
-    prior = estimated_prior(p.scores(weights, bias)[p.held], u.scores(weights, bias)[u.held])
-    weights, bias = _descend(p, u, len(learnt), prior, epochs)
-    threshold = float(np.quantile(p.scores(weights, bias)[p.held], LOST, method="lower"))
-    full = np.zeros(_WIDTH, dtype=np.float32)
-    full[learnt] = weights
-    return Model(full, bias, prior, threshold)
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from scores of held-out positives and unlabelled documents."""
+    cuts = prior_cuts(positive)
+    return least_ratio(positive, cuts, 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative risk of scores."""
+    loss = lambda g: np.logaddexp(0, -g).mean()
+    return prior * loss(positive) + max(0.0, loss(-unlabelled) - prior * loss(-positive))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(trusted, key, text)`` as packed features."""
     for batch in batches:
-        trusted, texts = batch.column(0), batch.column(1)
+        texts = batch.column(2)
         for at, to in tokens.slices(texts):
             owner, bucket = features(texts.slice(at, to - at))
             begin, n = grouped(owner)
-            bounds = pa.array(np.append(begin, len(owner)), pa.int32())
-            yield pa.RecordBatch.from_arrays([trusted.slice(at, to - at), pa.ListArray.from_arrays(bounds, pa.array(bucket, pa.int32()))], names=["trusted", "features"])
-
-
-def _collected(featured: DataFrame) -> dict[bool, list[np.ndarray]]:
-    """The sample's features on the driver, by whether a row is trusted."""
-    table = featured.toArrow()
-    rows: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for batch in table.to_batches():  # views of the table, no copies
-        lists = batch.column(1)
-        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for k, trusted in enumerate(batch.column(0).to_pylist()):
-            rows[trusted].append(values[bounds[k] : bounds[k + 1]])
-    for own in rows.values():
-        own.sort(key=lambda row: row.tobytes())  # which rows are held out must not depend on partitions
-    return rows
-
-
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` trusted positives (quality 1, toxic 0) and as many documents without a label."""
+            blobs = [pack(np.sort(bucket[b : b + m]).astype(np.uint32)) for b, m in zip(begin, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(blobs, pa.binary())], names=["trusted", "key", "features"])
+    trim()
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(feature, positive, unlabelled)``: documents of either kind that have it, of one part."""
+    counts = np.zeros((2, _WIDTH), dtype=np.int64)
+    for batch in batches:
+        for trusted, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[0 if trusted else 1, unpack(blob, 1)[0]] += 1  # a row's features are distinct
+    at = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["feature", "positive", "unlabelled"])
+
+
+def _rows(keys: list[int], blobs: list[bytes], columns: np.ndarray) -> _Set:
+    """A set of rows, in the order of their keys and features."""
+    order = sorted(range(len(keys)), key=lambda k: (keys[k], blobs[k]))
+    learnt = [c[c >= 0] for c in (columns[unpack(blobs[k], 1)[0]] for k in order)]
+    owner = np.repeat(np.arange(len(order)), [len(c) for c in learnt])
+    return _Set(owner, np.concatenate([np.zeros(0, np.int32), *learnt]), np.array([keys[k] % 3 == 2 for k in order], dtype=bool))
+
+
+def _fitted(shared, prior: float | None, epochs: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Weights and bias of one block, and its number of rows."""
+        columns, width, positive = shared.value
+        unlabelled = _rows(table.column("key").to_pylist(), table.column("features").to_pylist(), columns)
+        weights, bias = _descend(positive, unlabelled, width, prior, epochs)
+        trim()
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([unlabelled.n]), "weights": pa.array([np.append(weights, bias).tobytes()], pa.binary())})
+
+    return run
+
+
+def _above(shared, theta: np.ndarray, cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``(cut, n)``: rows of one part that score at least each cut."""
+        columns = shared.value[0]
+        total = np.zeros(len(cuts), dtype=np.int64)
+        for batch in batches:
+            own = _rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), columns)
+            total += own.n - np.searchsorted(np.sort(own.scores(theta[:-1], theta[-1])), cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array(total)], names=["cut", "n"])
+
+    return run
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model | None:
+    """A model from at most ``sample`` trusted positives (quality 1, toxic 0) and all documents without a label."""
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("trusted"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    positive = ids.join(known.where("trusted"), F.col("doc_id") == F.col("label_id"), "left_semi").orderBy(*order).limit(sample)
-    unlabelled = ids.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").orderBy(*order).limit(sample)
-    chosen = positive.select(F.col("doc_id").alias("sampled_id"), F.lit(True).alias("trusted")).unionAll(unlabelled.select("doc_id", F.lit(False)))
-    texts = texts_of(docs).join(small(chosen), F.col("doc_id") == F.col("sampled_id")).select("trusted", "text")
-    rows = _collected(texts.mapInArrow(_featured, "trusted boolean, features array<int>"))
-    model = fit(rows[True], rows[False])
-    rows.clear()
+    chosen = ids.join(known.where("trusted"), F.col("doc_id") == F.col("label_id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # labels that aren't chosen take their documents out of both kinds
+    roles = known.join(chosen.select(F.col("doc_id").alias("chosen_id"), F.lit(True).alias("chosen")), F.col("label_id") == F.col("chosen_id"), "left").select("label_id", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    texts = texts_of(docs).where("doc_id is not null").join(small(written(roles)), F.col("doc_id") == F.col("label_id"), "left").where("label_id is null or chosen")
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    rows = written(texts.select(F.col("label_id").isNotNull().alias("trusted"), key.alias("key"), "text").mapInArrow(_featured, "trusted boolean, key long, features binary"))
+    n, m = (rows.agg(F.count_if("trusted"), F.count_if(~F.col("trusted"))).first()) or (0, 0)
+    if min(n, m) < 3:
+        return None
+    # features that both kinds have about equally often tell nothing, and hundreds of them in a text would drown those that do
+    held = rows.select("trusted", "features").mapInArrow(_holders, "feature int, positive long, unlabelled long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u"))
+    share = (F.col("p") + F.col("u")) / (n + m)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n + 1 / m))
+    telling = held.where((F.col("p") + F.col("u") >= LEAST_HOLDERS) & (F.abs(F.col("p") / n - F.col("u") / m) >= SIGNIFICANT * spread))
+    learnt = np.sort(telling.select("feature").toArrow().column(0).to_numpy())
+    positives = rows.where("trusted").select("key", "features").toArrow()
+    columns = np.full(_WIDTH, -1, dtype=np.int32)
+    columns[learnt] = np.arange(len(learnt))
+    positive = _rows(positives.column(0).to_pylist(), positives.column(1).to_pylist(), columns)
+    del positives
     trim()  # the driver lives on
-    return model
+    if not 0 < positive.held.sum() < n or not len(learnt):
+        return None
+    shared = spark.sparkContext.broadcast((columns, len(learnt), positive.fitted()))
+    unlabelled = rows.where("not trusted").select("key", "features")
+    blocks = -(-m // BLOCK)
+    # every third one is held out, by the key; blocks go by what is left of it
+    blocked = unlabelled.where("key % 3 <> 2").withColumn("block", F.pmod(F.floor(F.col("key") / 3), F.lit(blocks)))
+
+    def averaged(prior: float | None, steps: int) -> np.ndarray:
+        fitted = blocked.repartition(blocks, "block").groupBy("block").applyInArrow(_fitted(shared, prior, steps), "block long, n long, weights binary")
+        total, count = np.zeros(len(learnt) + 1), 0
+        for r in fitted.orderBy("block").toLocalIterator():
+            total, count = total + r.n * np.frombuffer(bytes(r.weights)), count + r.n
+        return total / max(1, count)
+
+    theta = averaged(None, max(1, epochs // 3))
+    cuts = prior_cuts(positive.scores(theta[:-1], theta[-1])[positive.held])
+    above = unlabelled.where("key % 3 = 2").mapInArrow(_above(shared, theta, cuts), "cut long, n long").groupBy("cut").agg(F.sum("n").alias("n")).orderBy("cut").collect()
+    out = unlabelled.where("key % 3 = 2").count()
+    if not out:
+        return None
+    prior = least_ratio(positive.scores(theta[:-1], theta[-1])[positive.held], cuts, np.array([r.n for r in above]) / out)
+    theta = averaged(prior, epochs)
+    threshold = float(np.quantile(positive.scores(theta[:-1], theta[-1])[positive.held], LOST, method="lower"))
+    full = np.zeros(_WIDTH, dtype=np.float32)
+    full[learnt] = theta[:-1]
+    shared.destroy()
+    # as scores are computed from these weights, so is the threshold
+    scale = float(np.finfo(np.float32).eps) * max(1.0, float(np.abs(theta).sum()))
+    return Model(full, float(theta[-1]), prior, threshold - scale)
 
 
 def _score(shared):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import decontam, quality
@@ -42,6 +43,48 @@ def test_held_out_accuracy(corpus):
     assert again == keep
 
 
+def test_risk_and_its_gradient():
+    """The risk falls along the direction that is followed, which is its gradient by differences; where it is clamped, the clamped part's the other way."""
+    rnd = np.random.default_rng(2)
+    n, m, width = 40, 60, 7
+    dense = {k: rnd.random((c, width)) < 0.4 for k, c in (("p", n), ("u", m))}
+    sets = {k: quality._Set(*np.nonzero(x), np.zeros(len(x), bool)) for k, x in dense.items()}
+
+    def brute(theta, prior):
+        g = {k: x @ theta[:-1] + theta[-1] for k, x in dense.items()}
+        loss = lambda v: sum(np.log(1 + np.exp(-x)) for x in v) / len(v)
+        return prior * loss(g["p"]), loss(-g["u"]) - prior * loss(-g["p"]), g
+
+    for prior in (0.3, 0.9):
+        for _ in range(5):
+            theta = rnd.normal(0, 1.5, width + 1)
+            first, second, g = brute(theta, prior)
+            assert abs(quality.risk(g["p"], g["u"], prior) - first - max(0, second)) < 1e-9
+            slope, negative = quality.slope(sets["p"], sets["u"], width, theta, prior)
+            assert abs(negative - second) < 1e-9
+            for k in range(width + 1):
+                step = np.zeros(width + 1)
+                step[k] = 1e-6
+                up, down = brute(theta + step, prior), brute(theta - step, prior)
+                want = (up[0] + up[1] - down[0] - down[1]) / 2e-6 if second >= 0 else -(up[1] - down[1]) / 2e-6
+                assert abs(slope[k] - want) < 1e-6
+
+
+def test_all_unlabelled_documents_are_learnt_from(corpus, monkeypatch):
+    """In one block or in several, and whatever the sample's bound: it holds for positives only."""
+    docs, labels, kinds = corpus
+    seen = []
+    whole = quality.trained(docs, labels)
+    monkeypatch.setattr(quality, "BLOCK", 200)
+    parts = quality.trained(docs, labels)
+    keep = lambda m: {k: m.scores(pa.array([t]))[0] >= m.threshold for k, t in docs.collect()[:300]}
+    a, b = keep(whole), keep(parts)
+    seen = [k for k in a if a[k] != b[k]]
+    assert len(seen) < 15 and abs(whole.prior - parts.prior) < 0.1
+    few = quality.trained(docs, labels, sample=30)
+    assert few is None or few.prior > 0
+
+
 def test_prior_is_estimated():
     rnd = np.random.default_rng(0)
     positive = rnd.normal(2, 1, 3000)
