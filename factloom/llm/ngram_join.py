@@ -42,7 +42,7 @@ FRAGMENTS = 8
 #: Cells of a block of the pair matrix; only bounds memory.
 BLOCK = 1 << 20
 #: Classes, and packed bytes of their n-grams, of one block of a large component; they bound a task's work, never results.
-MEMBERS, TILE_BYTES = 2048, 8 << 20
+MEMBERS, TILE_BYTES = 1024, 8 << 20
 
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("set_hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("ranks", T.BinaryType())])
@@ -306,7 +306,8 @@ def _compared(docs: DataFrame, n: int, threshold: float, as_pairs: bool) -> tupl
     tiles = other.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "size", "node", "doc_id", "copies", "ranks")
     bins = max(2 * parts(docs.sparkSession), cost // TILE_BYTES)
     binned = tiles.withColumn("bin", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)))
-    found = binned.groupBy("bin").applyInArrow(_tiles(threshold, as_pairs), "doc_a long, doc_b long, jaccard double" if as_pairs else "node long, doc_id long, near long, links long")
+    # by number, as parts of little data may hold much work and must not be joined to larger ones
+    found = binned.repartition(bins, "bin").groupBy("bin").applyInArrow(_tiles(threshold, as_pairs), "doc_a long, doc_b long, jaccard double" if as_pairs else "node long, doc_id long, near long, links long")
     return sets, classes, found
 
 
