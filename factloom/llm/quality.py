@@ -11,7 +11,7 @@ unlabelled that score above a threshold over the share of held-out positives tha
 A document is kept if its score reaches the threshold, at which ``1 - LOST`` of the held-out positives stay.
 
 The trusted positives are a bounded sample, ``SAMPLE`` rows of least hash of ``doc_id``. Unlabelled documents are all of them: features are counted over all, the risk is
-minimised in blocks of ``BLOCK`` unlabelled documents, each against all positives of the sample, whose weights are averaged, and the prior is read from the scores of all that are held out (a third).
+minimised in blocks of ``BLOCK`` unlabelled documents, each against all positives of the sample, by steps over shares of both (as published), and blocks' weights are averaged; the prior is read from the scores of all that are held out (a third).
 Features of documents are written once in the shared folder. Rows are sorted inside blocks, so the same input gives the same model. Scores are computed for all documents, over whole texts.
 
 Null texts and texts without words have no word features and are scored by their form. A null label says nothing; repeated
@@ -36,6 +36,8 @@ from factloom.llm.shared import bounded, pieces, small, texts_of, written
 SAMPLE = 24_000
 #: Unlabelled documents of a block; blocks are fitted side by side.
 BLOCK = 15_000
+#: Unlabelled documents of a step, at least, if a block has so many; positives are shared out over the steps alike.
+STEP_ROWS = 1_250
 #: Share of held-out positives that the threshold may lose.
 LOST = 0.003
 WORD_BITS = 20
@@ -45,7 +47,9 @@ PREFIX = 5
 LEAST_HOLDERS = 12
 #: Standard errors by which a feature's shares among positives and unlabelled must differ for it to be learnt.
 SIGNIFICANT = 5.0
-EPOCHS, RATE, DECAY = 300, 0.05, 1e-5
+STEPS, RATE, DECAY = 300, 0.05, 1e-5
+#: Weights are summed over blocks as whole numbers of this fraction, so that the order of the blocks doesn't matter.
+FRACTION = 1 << 24
 
 _FORM = 16
 _WIDTH = (1 << WORD_BITS) + 10 * _FORM
@@ -124,6 +128,15 @@ class _Set:
         inside = ~self.held[self.owner]
         return _Set(place[self.owner[inside]], self.bucket[inside], np.zeros(int((~self.held).sum()), dtype=bool))
 
+    def shares(self, k: int) -> list[_Set]:
+        """Every ``k``-th row, from each of the first ``k``; rows are in the order of a hash, so that shares are alike."""
+        if k == 1:
+            return [self]
+        order = np.argsort(self.owner % k, kind="stable")
+        owner, bucket = self.owner[order], self.bucket[order]
+        cut = np.searchsorted(owner % k, np.arange(k + 1))
+        return [_Set(owner[a:b] // k, bucket[a:b], self.held[j::k]) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
     def scores(self, weights, bias):
         return _sums(weights, self.owner, self.bucket, self.n) + bias
 
@@ -149,20 +162,22 @@ def slope(positive: _Set, unlabelled: _Set, width: int, theta: np.ndarray, prior
     return np.append(positive.gradient(dp, width) + unlabelled.gradient(du, width), dp.sum() + du.sum()), negative
 
 
-def _descend(positive: _Set, unlabelled: _Set, width: int, prior: float | None, epochs: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over all rows: of the non-negative risk, or of telling the two apart if ``prior`` is None. Steps shrink to nothing, and the last third's weights
-    are averaged, as the risk's second term goes to and fro about zero."""
+def _descend(positive: _Set, unlabelled: _Set, width: int, prior: float | None, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam: of the non-negative risk, or of telling the two apart if ``prior`` is None. Each step takes the next share of both kinds, of ``STEP_ROWS``
+    unlabelled rows or more. Steps shrink to nothing, and the last third's weights are averaged, as the risk's second term goes to and fro about zero."""
+    k = max(1, min(unlabelled.n // STEP_ROWS, positive.n // 3))
+    shares = list(zip(positive.shares(k), unlabelled.shares(k), strict=True))
     theta = np.zeros(width + 1)
     mean, square, total = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    late = epochs - max(1, epochs // 3)
-    for step in range(1, epochs + 1):
-        way, _ = slope(positive, unlabelled, width, theta, prior)
+    late = steps - max(1, steps // 3)
+    for step in range(1, steps + 1):
+        way, _ = slope(*shares[step % k], width, theta, prior)
         way[:-1] += DECAY * theta[:-1]
         mean, square = 0.9 * mean + 0.1 * way, 0.99 * square + 0.01 * way**2
-        theta -= RATE * (1 - (step - 1) / epochs) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        theta -= RATE * (1 - (step - 1) / steps) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         if step > late:
             total += theta
-    theta = total / (epochs - late)
+    theta = total / (steps - late)
     return theta[:-1], float(theta[-1])
 
 
@@ -219,14 +234,15 @@ def _rows(keys: list[int], blobs: list[bytes], columns: np.ndarray) -> _Set:
     return _Set(owner, np.concatenate([np.zeros(0, np.int32), *learnt]), np.array([keys[k] % 3 == 2 for k in order], dtype=bool))
 
 
-def _fitted(shared, prior: float | None, epochs: int):
+def _fitted(shared, prior: float | None, steps: int):
     def run(table: pa.Table) -> pa.Table:
-        """Weights and bias of one block, and its number of rows."""
+        """``(feature, total)``: weights of one block times its number of rows, as whole numbers of ``FRACTION``; the bias comes after the weights, and then the rows."""
         columns, width, positive = shared.value
         unlabelled = _rows(table.column("key").to_pylist(), table.column("features").to_pylist(), columns)
-        weights, bias = _descend(positive, unlabelled, width, prior, epochs)
+        weights, bias = _descend(positive, unlabelled, width, prior, steps)
         trim()
-        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([unlabelled.n]), "weights": pa.array([np.append(weights, bias).tobytes()], pa.binary())})
+        total = np.append(np.rint(np.append(weights, bias) * FRACTION).astype(np.int64), 1) * unlabelled.n
+        return pa.table({"feature": pa.array(np.arange(width + 2)), "total": pa.array(total)})
 
     return run
 
@@ -244,7 +260,7 @@ def _above(shared, theta: np.ndarray, cuts: np.ndarray):
     return run
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model | None:
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Model | None:
     """A model from at most ``sample`` trusted positives (quality 1, toxic 0) and all documents without a label."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("trusted"))
@@ -279,20 +295,20 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: in
     blocked = unlabelled.where("key % 3 <> 2").withColumn("block", F.pmod(F.floor(F.col("key") / 3), F.lit(blocks)))
 
     def averaged(prior: float | None, steps: int) -> np.ndarray:
-        fitted = blocked.repartition(blocks, "block").groupBy("block").applyInArrow(_fitted(shared, prior, steps), "block long, n long, weights binary")
-        total, count = np.zeros(len(learnt) + 1), 0
-        for r in fitted.orderBy("block").toLocalIterator():
-            total, count = total + r.n * np.frombuffer(bytes(r.weights)), count + r.n
-        return total / max(1, count)
+        fitted = blocked.repartition(blocks, "block").groupBy("block").applyInArrow(_fitted(shared, prior, steps), "feature long, total long")
+        sums = fitted.groupBy("feature").agg(F.sum("total").alias("total")).toArrow()  # as many rows as learnt features
+        total = np.zeros(len(learnt) + 2)
+        total[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+        return total[:-1] / FRACTION / max(1, total[-1])
 
-    theta = averaged(None, max(1, epochs // 3))
+    theta = averaged(None, max(1, steps // 3))
     cuts = prior_cuts(positive.scores(theta[:-1], theta[-1])[positive.held])
     above = unlabelled.where("key % 3 = 2").mapInArrow(_above(shared, theta, cuts), "cut long, n long").groupBy("cut").agg(F.sum("n").alias("n")).orderBy("cut").collect()
     out = unlabelled.where("key % 3 = 2").count()
     if not out:
         return None
     prior = least_ratio(positive.scores(theta[:-1], theta[-1])[positive.held], cuts, np.array([r.n for r in above]) / out)
-    theta = averaged(prior, epochs)
+    theta = averaged(prior, steps)
     threshold = float(np.quantile(positive.scores(theta[:-1], theta[-1])[positive.held], LOST, method="lower"))
     full = np.zeros(_WIDTH, dtype=np.float32)
     full[learnt] = theta[:-1]
