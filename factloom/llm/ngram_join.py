@@ -7,9 +7,11 @@ pair over the fragments gives the overlap. Three filters that lose nothing come
 * A document of which fewer than ``ceil(t * size)`` n-grams occur in any other document has no partner, and leaves after the first
   pass, in which n-grams' holders are counted from packed hashes, with one shuffle.
 * Documents with equal sets of n-grams are one *class*; only one member of it is compared on, and stands for all.
-* Two partners share an n-gram among the ``size - ceil(t * size) + 1`` least of each one's in the global order (rare ones come first). These
-  rare n-grams tie possible partners together into components; passages that very many documents share are not among them. Classes are
-  compared inside components only.
+* The *prefix* of a set is its ``size - ceil(t * size) + 1`` least n-grams in the global order (rare ones come first). Partners of sizes a >= b share
+  ``ceil(t / (1 + t) * (a + b)) - ceil(t * a) + 1`` n-grams or more inside both prefixes, as what else they share lies behind the prefix that ends first (``least_shared``).
+  N-grams with fewer than ``HOT`` holders are counted pair by pair in each fragment, partial overlaps are summed, and pairs that reach that bound are tied; so chance
+  meetings tie nothing. Holders of a more frequent n-gram in their prefixes are tied to the least of them, without pairs: these are texts that mostly consist of what many others hold.
+  Classes are compared inside the components of these ties only.
 
 Components larger than ``MEMBERS`` classes or ``TILE_BYTES`` are cut into blocks, and each two blocks are a *tile* of its own: a hot group
 is spread over as many tasks as it has tiles, no pair is ever shuffled, and a tile gives one row per class for links and connections.
@@ -43,6 +45,8 @@ FRAGMENTS = 8
 BLOCK = 1 << 20
 #: Classes, and packed bytes of their n-grams, of one block of a large component; they bound a task's work, never results.
 MEMBERS, TILE_BYTES = 1024, 8 << 20
+#: Order of magnitude (see ``gram_class``) from which holders of an n-gram are tied to one of them in place of being paired: 16 holders or more.
+HOT = 4
 
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 _SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("set_hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("ranks", T.BinaryType())])
@@ -149,21 +153,90 @@ def _survivors(threshold: float):
     return run
 
 
-def _rare(threshold: float):
+def least_shared(a, b, threshold: float):
+    """N-grams, at least, that partners of sizes ``a`` and ``b`` share inside both prefixes."""
+    whole = np.ceil((a + b) * (threshold / (1 + threshold)) - 1e-6).astype(np.int64)
+    return np.maximum(1, whole - need(np.maximum(a, b), threshold) + 1)
+
+
+def _prefixes(batch: pa.RecordBatch, threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(node, size, grams, class_)`` of rows ``(node, size, ranks)``: what each one's prefix has of n-grams that others hold too."""
+    for node, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        grams, class_ = unpack(blob, 2)
+        alone = size - len(grams)  # n-grams of one holder come first in the order
+        most = max(0, size - int(need(size, threshold)) + 1 - alone)
+        yield node, size, grams[:most], class_[:most]
+
+
+def _hot(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``(gram, node)`` of each class's least n-grams, of which partners share one."""
+        """``(gram, node)`` of frequent n-grams in prefixes."""
         for batch in batches:
             grams, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for node, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = unpack(blob, 2)[0].view(np.int64)
-                alone = size - len(own)  # n-grams of one holder come first in the order
-                grams.append(own[: size - int(need(size, threshold)) + 1 - alone])
+            for node, _, own, class_ in _prefixes(batch, threshold):
+                grams.append(own[class_ >= HOT].view(np.int64))
                 nodes.append(np.full(len(grams[-1]), node))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], names=["gram", "node"])
 
     return run
 
 
+def _rare(threshold: float, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``(slot, blob)``: the other n-grams of prefixes, by fragment, with their nodes and sizes.
+
+        32 bits of the hash do inside a fragment: where two n-grams fall together, a pair is compared in vain."""
+        for batch in batches:
+            grams, nodes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            for node, size, own, class_ in _prefixes(batch, threshold):
+                grams.append(own[class_ < HOT])
+                nodes.append(np.full(len(grams[-1]), node, dtype=np.uint64))
+                sizes.append(np.full(len(grams[-1]), size, dtype=np.uint32))
+            grams, nodes, sizes = (np.concatenate(x) for x in (grams, nodes, sizes))
+            slot = (grams >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
+            low = grams.astype(np.uint32)
+            order = np.lexsort((low, slot))
+            low, nodes, sizes = low[order], nodes[order], sizes[order]
+            rows = [(int(slot[order[a]]), pack(low[a : a + m], nodes[a : a + m], sizes[a : a + m])) for a, m in zip(*grouped(slot[order]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slot", "blob"])
+
+    return run
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("least", pa.int32())])
+
+
+def _met(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Partial overlaps ``(a, b, shared, least)`` of prefixes in one fragment, of pairs whose sizes allow for a link; ``least`` is what must be reached in all."""
+        trim()
+        parts_ = [unpack(blob, 3) for blob in table.column("blob").to_pylist()]
+        grams, nodes, sizes = (np.concatenate([x[k] for x in parts_]) for k in range(3))
+        del parts_
+        order = np.lexsort((nodes, grams))
+        grams, nodes, sizes = grams[order], nodes[order], sizes[order].astype(np.int64)
+        known, place = np.unique(nodes, return_inverse=True)
+        size = np.zeros(len(known), dtype=np.int64)
+        size[place] = sizes
+        pairs = [np.zeros(0, np.uint64)]
+        at = np.arange(len(grams))
+        for far in range(1, len(grams)):  # holders are few: HOT bounds the rounds
+            at = at[at + far < len(grams)]
+            at = at[grams[at + far] == grams[at]]
+            if not len(at):
+                break
+            fits = np.minimum(sizes[at], sizes[at + far]) >= threshold * np.maximum(sizes[at], sizes[at + far]) - 1e-9
+            own = at[fits]
+            pairs.append(place[own].astype(np.uint64) * np.uint64(len(known)) + place[own + far].astype(np.uint64))
+        pairs, shared = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = (pairs // np.uint64(max(1, len(known)))).astype(np.int64), (pairs % np.uint64(max(1, len(known)))).astype(np.int64)
+        keep = a != b  # a node meets itself where two of its n-grams fall together
+        a, b, shared = a[keep], b[keep], shared[keep]
+        return pa.table([known[a].view(np.int64), known[b].view(np.int64), shared.astype(np.int32), least_shared(size[a], size[b], threshold).astype(np.int32)], schema=_MET)
+
+    return run
+
+
 def overlaps(grams: np.ndarray, owner: np.ndarray, size: np.ndarray, threshold: float, block: int = BLOCK, class_: np.ndarray | None = None, left: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(i, j, shared)``, i < j, of sets given as n-grams and their owners; pairs whose sizes alone rule them out are left out.
 
@@ -290,9 +363,13 @@ def _compared(docs: DataFrame, n: int, threshold: float, as_pairs: bool) -> tupl
 
     # equal sets have equal ranks: a class keeps those of any member
     classes = written(sets.groupBy("set_hash", "size").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("ranks").alias("ranks")))
-    rare = classes.select("node", "size", "ranks").mapInArrow(_rare(threshold), "gram long, node long")
-    stars = rare.join(rare.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("holders")).where("holders > 1"), "gram")
-    roots = components(stars.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    prefixes = classes.select("node", "size", "ranks")
+    rare = prefixes.mapInArrow(_rare(threshold, slots), "slot int, blob binary")
+    met = rare.groupBy("slot").applyInArrow(_met(threshold), "a long, b long, shared int, least int")
+    ties = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    hot = prefixes.mapInArrow(_hot(threshold), "gram long, node long")
+    stars = hot.join(hot.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("holders")).where("holders > 1"), "gram")
+    roots = components(ties.unionAll(stars.select(F.col("least").alias("a"), F.col("node").alias("b"))))
     roots = written(roots.select("node", "root"))
     tied = written(classes.join(small(roots), "node").select("root", "node", "doc_id", "copies", classes["size"].alias("size"), "ranks"))
     # large components are cut into blocks

@@ -93,6 +93,37 @@ def test_rows_of_one_id_are_texts_of_their_own(spark):
     assert sorted(r.doc_id for r in ngram_join.one_of_each_group(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == [1, 1, 4]
 
 
+@pytest.mark.parametrize("hot", [1, 2, 9])
+def test_ties_lose_no_partner(spark, monkeypatch, hot):
+    """Whatever is counted pair by pair and whatever tied to one holder, and where all n-grams of a fragment fall together."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rnd = random.Random(hot)
+    stem = [f"s{k}" for k in range(30)]
+    texts = [(k, " ".join(w if rnd.random() > 0.12 else f"y{rnd.randrange(40)}" for w in (stem if k % 2 else stem[:18])[: rnd.randrange(5, 31)])) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for n, threshold in ((1, 0.55), (2, 0.4), (1, 0.8)):
+        assert links_of(ngram_join.linked(df, n, threshold)) == brute_links(texts, n, threshold)
+
+
+def test_partners_share_what_the_bound_says():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for t in (0.3, 0.55, 0.8, 1.0):
+        tight = 0
+        for _ in range(4000):
+            x, y = (set(rnd.choice(24, rnd.integers(1, 24), replace=False).tolist()) for _ in range(2))
+            if rnd.random() < 0.7:
+                y = (x - {rnd.integers(24)}) | {int(rnd.integers(24))} if len(x) > 1 else x
+            if len(x & y) < t * len(x | y) - 1e-12:
+                continue
+            prefix = [set(sorted(s)[: len(s) - int(ngram_join.need(len(s), t)) + 1]) for s in (x, y)]
+            spare = len(prefix[0] & prefix[1]) - int(ngram_join.least_shared(np.array(len(x)), np.array(len(y)), t))
+            assert spare >= 0
+            tight += spare == 0
+        assert tight
+
+
 def test_connected():
     import numpy as np
 
