@@ -6,8 +6,11 @@ frequent ones only, by count and then by hash, for the others). Of n-grams of or
 
     d(r) = (r*/r - A) / (1 - A),   r* = (r + 1) n(r+1) / n(r),   A = (k + 1) n(k+1) / n(1)
 
-(``n(r)``: distinct n-grams of count ``r``, ``k`` = ``DISCOUNTED``; ``FLAT`` where these give no ratio between 0 and 1), and what a history
-``h`` has left goes to the words that aren't kept after it, in proportion to the next lower order:
+(``n(r)``: distinct n-grams of count ``r``, ``k`` = ``DISCOUNTED``), that is, ``1 - d(r)`` is in proportion to ``1 - r*/r``, and all discounts
+together are ``n(1)`` counts. Where one of these ratios isn't between 0 and 1, all ``r*`` of the order are taken from ``n(r)`` smoothed by a line
+through its logarithms, and the discounts are ``n(1)`` counts again. ``FLAT`` is for an order whose counts allow no such estimate: no n-gram
+counted once, or none from twice to ``k`` times, or a line that doesn't fall steeper than ``1 / r``. What a history ``h`` has left goes to the
+words that aren't kept after it, in proportion to the next lower order:
 
     P(w | h) = d(c(hw)) c(hw) / c(h)                 if hw is kept
              = a(h) P(w | h without its first word)    if not
@@ -309,16 +312,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(seen) + 1)), pa.array(seen)], names=["r", "n"])
 
 
+def _smoothed(n: np.ndarray) -> np.ndarray:
+    """Counts of counts on a line through their logarithms, each one shared with the missing ones around it (Gale and Sampson); zeros where less than two are known."""
+    r = np.flatnonzero(n) + 1
+    if len(r) < 2:
+        return np.zeros(len(n))
+    before = np.append(0, r[:-1])
+    after = np.append(r[1:], 2 * r[-1] - before[-1])
+    slope, at = np.polyfit(np.log(r), np.log(2 * n[r - 1] / (after - before)), 1)
+    return np.exp(at + slope * np.log(np.arange(1, len(n) + 1)))
+
+
 def discounts(n: dict[int, int], most: int = DISCOUNTED, flat: float = FLAT) -> np.ndarray:
     """Ratios d(0..most) from counts of counts n(1..most + 1); d(0) isn't used."""
-    out = np.full(most + 1, flat)
-    common = (most + 1) * n.get(most + 1, 0) / n[1] if n.get(1) else 1.0
-    for r in range(1, most + 1):
-        if n.get(r) and n.get(r + 1) and common < 1:
-            ratio = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
-            if 0 < ratio < 1:
-                out[r] = ratio
-    return out
+    seen, r = np.array([n.get(r, 0) for r in range(1, most + 2)], dtype=np.float64), np.arange(1, most + 1)
+    for of in (seen, _smoothed(seen)):
+        if of.all() and (lost := 1 - (r + 1) * of[1:] / of[:-1] / r).min() > 0:
+            # 1 - d(r) in proportion to 1 - r*/r, and n(1) counts discounted in all
+            ratio = 1 - lost * seen[0] / (seen[:-1] * r * lost).sum()
+            if 1e-12 < ratio.min() and ratio.max() < 1:
+                return np.append(flat, ratio)
+    return np.full(most + 1, flat)
 
 
 class Part:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 from collections import Counter
 from functools import lru_cache
 
@@ -267,6 +268,20 @@ def test_good_turing_ratios():
     assert set(katz.discounts({})) == {katz.FLAT}
 
 
+@pytest.mark.parametrize("n", [(253241, 36000, 5971, 1298, 2087, 413), (100, 10), (100, 40, 0, 12, 8, 5), (30, 16, 9, 6, 5, 5)])
+def test_irregular_counts_of_counts_are_smoothed_and_still_discount_by_good_turing(n):
+    """Counts of counts of sf0.01's order 3, whose n(5) is above n(4); too few; one missing; common term of one and more."""
+    known = [r for r, x in enumerate(n, 1) if x]
+    z = [2 * n[r - 1] / (b - a) for a, r, b in zip([0, *known], known, [*known[1:], 2 * known[-1] - known[-2]], strict=False)]
+    slope = statistics.linear_regression([math.log(r) for r in known], [math.log(x) for x in z]).slope
+    d = katz.discounts(dict(enumerate(n, 1)))[1:]
+    factor = [(1 - d[r - 1]) / (1 - (1 + 1 / r) ** (slope + 1)) for r in range(1, 6)]
+    assert factor == pytest.approx([factor[0]] * 5)
+    assert sum(n_ * r * (1 - x) for n_, r, x in zip(n, range(1, 6), d, strict=False)) == pytest.approx(n[0])
+    assert 0 < d[0] and all(np.diff(d) > 0) and d[-1] < 1
+    assert all(set(katz.discounts(x)) == {katz.FLAT} for x in ({1: 100}, {1: 10, 2: 10}, {2: 7}, {2: 7, 3: 2}, {1: 100, 6: 3}))
+
+
 # mixing
 
 
