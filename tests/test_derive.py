@@ -73,6 +73,11 @@ def test_inverse_turns_known_edges_only(spark):
     assert got(derive.inverse(df), "predicate", "src", "dst", "confidence") == {("called-by", "b", "a", 0.98)}
 
 
+def test_inverse_has_no_cap(spark):
+    df = spark.range(200_001).selectExpr("'calls' as predicate", "concat('a', id) as src", "'b' as dst", "'r' as repo")
+    assert derive.inverse(df).count() == 200_001
+
+
 def test_pairs_need_support_and_bounded_groups(spark):
     head = lambda k: f"{k:040x}"
     lines = [x for k in range(3) for x in (head(k), "a.py", "b.py", "")] + [head(9)] + [f"f{k}.py" for k in range(20)]
