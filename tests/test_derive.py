@@ -78,6 +78,14 @@ def test_inverse_has_no_cap(spark):
     assert derive.inverse(df).count() == 200_001
 
 
+def test_derivations_are_whole_unless_a_total_is_asked_for(spark):
+    hops = spark.range(60_001).selectExpr("explode(array(named_struct('src', concat('a', id), 'dst', concat('b', id)), named_struct('src', concat('b', id), 'dst', concat('c', id)))) as e").select("e.*")
+    assert derive.transitive_depends(hops).count() == 60_001
+    assert derive.transitive_depends(hops, total=10).count() == 10
+    raises = spark.range(80_001).selectExpr("'b' as src", "concat('e', id) as exception")
+    assert derive.may_raise(edges(spark, [("a", "b")]), raises, per_source=None).count() == 80_001
+
+
 def test_pairs_need_support_and_bounded_groups(spark):
     head = lambda k: f"{k:040x}"
     lines = [x for k in range(3) for x in (head(k), "a.py", "b.py", "")] + [head(9)] + [f"f{k}.py" for k in range(20)]
