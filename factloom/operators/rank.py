@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from factloom.functions.text import NOISE, base_name, folded, terms
 from factloom.operators.merge import Graph
 from factloom.plans.tables import small
 
-BLOCK = 1024
+#: Rows of a block in a product, and numbers (rows times dimension) of each side of a tile.
+BLOCK, TILE = 1024, 4_000_000
+FOUND = pa.schema([("query_id", pa.int64()), ("entity_id", pa.int64()), ("score", pa.float64())])
 TOP, NAME_FLOOR, LESSON_FLOOR, LESSONS = 5, 3, 2, 2
 
 
@@ -62,27 +65,67 @@ def relevant_lessons(tasks: DataFrame, lessons: DataFrame, top: int = LESSONS, f
     return best.withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy(F.col("score").desc(), "shown"))).where(F.col("n") <= top).select("task_id", F.col("shown").alias("text"), "score")
 
 
-def _blocks(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows of ``df (key, vec)`` gathered in blocks of about ``BLOCK``."""
-    count = max(1, -(-df.count() // BLOCK))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vec")).alias(name)).select(name)
+def _groups(queries: DataFrame, vectors: DataFrame) -> tuple[int, int]:
+    """Into how many groups each side is cut, so that a group has about ``TILE`` numbers at most, and all cores have tiles where there is more than a block's work."""
+    sizes = [df.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first() for df in (queries, vectors)]
+    (_, a), (_, b) = sizes
+    n, m = max(1, -(-a // TILE)), max(1, -(-b // TILE))
+    if max(rows for rows, _ in sizes) > BLOCK:
+        while n * m < 4 * queries.sparkSession.sparkContext.defaultParallelism:
+            n, m = (n + 1, m) if a * m > b * n else (n, m + 1)
+    return n, m
+
+
+def _arrays(side: pa.Table) -> dict[int, tuple[pa.ChunkedArray, np.ndarray]]:
+    """Ids and a matrix of vectors, rows in order of ids, for each dimension."""
+    side = side.combine_chunks().sort_by("id")
+    sizes = pc.list_value_length(side["vec"]).to_numpy()
+    found = {}
+    for size in np.unique(sizes):
+        rows = side.filter(pa.array(sizes == size))
+        vecs = pc.list_flatten(rows["vec"]).to_numpy().reshape(rows.num_rows, int(size))
+        found[int(size)] = rows["id"], vecs.astype(np.float64)
+    return found
+
+
+def _best_places(queries: np.ndarray, vecs: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``vecs`` of the best of each of ``queries``, and their rounded scores; a row each. Ties go by place.
+
+    What is below the ``top``-th score by more than rounding can mend is left out; the rest is rounded and sorted.
+    """
+    best = score = None
+    for start in range(0, len(vecs), BLOCK):
+        new = queries @ vecs[start : start + BLOCK].T
+        key = np.where(np.isnan(new), np.inf, new) if np.isnan(new).any() else new
+        if best is not None and best.shape[1] == top:
+            least = np.where(np.isnan(score[:, -1]), np.inf, score[:, -1])
+        else:
+            least = np.partition(key, -top, axis=1)[:, -top] if key.shape[1] > top else np.full(len(key), -np.inf)
+        row, at = np.nonzero(key >= least[:, None] - 2e-4)
+        if best is not None and not len(row):
+            continue
+        place, value = at + start, np.round(new[row, at], 4)
+        if best is not None:
+            row = np.concatenate([np.repeat(np.arange(len(best)), best.shape[1]), row])
+            place, value = np.concatenate([best.ravel(), place]), np.concatenate([score.ravel(), value])
+        order = np.lexsort((place, np.where(np.isnan(value), -np.inf, -value), row))
+        row, place, value = row[order], place[order], value[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < top
+        best, score = place[kept].reshape(len(queries), -1), value[kept].reshape(len(queries), -1)
+    return best, score
 
 
 def _best(top: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for asked, held in zip(frame.asked, frame.held, strict=True):
-                by_size: dict[int, list] = {}
-                for r in held:
-                    by_size.setdefault(len(r["vec"]), []).append(r)
-                for size in {len(q["vec"]) for q in asked} & by_size.keys():
-                    rows, queries = by_size[size], [q for q in asked if len(q["vec"]) == size]
-                    ids = np.array([r["id"] for r in rows])
-                    order = np.argsort(ids, kind="stable")
-                    score = np.round(np.stack([q["vec"] for q in queries]).astype(np.float64) @ np.stack([rows[k]["vec"] for k in order]).astype(np.float64).T, 4)
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-                    n = best.shape[1]
-                    yield pd.DataFrame({"query_id": np.repeat([q["id"] for q in queries], n), "entity_id": ids[order][best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()})
+    def run(tile: pa.Table) -> pa.Table:
+        asked, held = (_arrays(tile.filter(pc.equal(tile["asked"], side)).select(["id", "vec"])) for side in (True, False))
+        out = []
+        for size in asked.keys() & held.keys():
+            (query_ids, queries), (ids, vecs) = asked[size], held[size]
+            for start in range(0, len(queries), BLOCK):
+                place, score = _best_places(queries[start : start + BLOCK], vecs, top)
+                row = np.repeat(np.arange(start, start + len(place)), place.shape[1])
+                out.append(pa.table({"query_id": query_ids.take(row), "entity_id": ids.take(place.ravel()), "score": score.ravel()}).cast(FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
 
     return run
 
@@ -90,11 +133,18 @@ def _best(top: int):
 def cosine_top(queries: DataFrame, vectors: DataFrame, top: int = TOP) -> DataFrame:
     """``(query_id, entity_id, score, place)`` for ``queries (query_id, vec)`` against ``vectors (entity_id, vec)``, all of length 1; other dimensions don't match.
 
-    Both sides are gathered in blocks; a pair of blocks is one matrix product, of which the best of each query go on. Neither side is held whole anywhere. Null vectors are near nothing.
+    Both sides are cut into groups by hash. Each group of one side meets each of the other in a tile, a task's worth of bounded size, which is worked through in
+    products of blocks; the best of each query in a tile go on. A row goes to as many tiles as the other side has groups. Null vectors are near nothing.
     """
     asked, held = queries.where("vec is not null"), vectors.where("vec is not null")
-    pairs = _blocks(asked, "query_id", "asked").crossJoin(_blocks(held, "entity_id", "held"))
-    local = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInPandas(_best(top), "query_id long, entity_id long, score double")
+    n, m = _groups(asked, held)
+    group = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count))
+    each = lambda count, tile: F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), tile)).alias("tile")
+    vec = F.col("vec").cast("array<double>" if dict(asked.dtypes)["vec"] == "array<double>" or dict(held.dtypes)["vec"] == "array<double>" else "array<float>").alias("vec")
+    left = asked.select(each(m, lambda k: group("query_id", n) * m + k), F.lit(True).alias("asked"), F.col("query_id").alias("id"), vec)
+    right = held.select(each(n, lambda k: k * m + group("entity_id", m)), F.lit(False).alias("asked"), F.col("entity_id").alias("id"), vec)
+    tiles = left.unionByName(right).repartition(n * m, "tile")
+    local = tiles.groupBy("tile").applyInArrow(_best(top), "query_id long, entity_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "entity_id"))
     return local.withColumn("place", place).where(F.col("place") <= top).select("query_id", "entity_id", "score", "place")
 

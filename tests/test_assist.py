@@ -105,6 +105,43 @@ def test_cosine_equals_brute_force(spark, monkeypatch):
     assert got[99, 1] == 99
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_cosine_by_bounded_tiles_keeps_ties_and_dimensions(spark, monkeypatch, wide):
+    """Many groups a side, so tiles; equal vectors, whose order is by id; two dimensions."""
+    import numpy as np
+
+    monkeypatch.setattr(rank, "BLOCK", 3)
+    monkeypatch.setattr(rank, "TILE", 20)
+    rnd = np.random.default_rng(2)
+    v = np.repeat(rnd.normal(size=(6, 4)), 5, axis=0).astype(np.float32)
+    v[::7, 0] += 0.00004
+    df = spark.createDataFrame([(k, [float(x) for x in (row if k % 3 else row[:2])]) for k, row in enumerate(v)], f"entity_id long, vec array<{'double' if wide else 'float'}>")
+    answered = rank.cosine_top(df.withColumnRenamed("entity_id", "query_id"), df, 4)
+    got = {(r.query_id, r.place): (r.entity_id, r.score) for r in answered.collect()}
+    w = v.astype(float)
+    for q in range(30):
+        same = [k for k in range(30) if bool(k % 3) == bool(q % 3)]
+        score = {k: round(float(w[q] @ w[k] if q % 3 else w[q, :2] @ w[k, :2]), 4) for k in same}
+        assert [got[q, p][0] for p in (1, 2, 3, 4)] == sorted(same, key=lambda k: (-score[k], k))[:4]
+    assert rank.cosine_top(df.limit(0).withColumnRenamed("entity_id", "query_id"), df, 4).count() == 0
+
+
+def test_cosine_reads_a_bounded_part_a_task(spark, monkeypatch):
+    """The rows of a group stay as many as they were when both sides are four times as large."""
+    monkeypatch.setattr(rank, "BLOCK", 10)
+    monkeypatch.setattr(rank, "TILE", 200)
+    seen = []
+
+    def of(n):
+        df = spark.range(n).select(F.col("id").alias("entity_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+        seen.extend(n / k for k in rank._groups(df, df))
+        return rank.cosine_top(df.withColumnRenamed("entity_id", "query_id"), df, 2)
+
+    assert of(1000).where("place = 1 and entity_id = 0").count() == 1000
+    of(4000)
+    assert seen == [100] * 4
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
     assert [(r.x, r.n) for r in numbered(df, "n", "x", after=5).orderBy("x").collect()] == [(k, k + 6) for k in range(100)]
