@@ -424,7 +424,7 @@ def hybrid_merge(spark, sf_dir):
     name = lambda c: F.concat(F.lit("v"), F.col(c))
     sem = near.select(F.col("query_id").alias("task_id"), name("entity_id").alias("name"), F.lit("p").alias("path"), "place")
     ids = t(spark, sf_dir, "embeddings").select("vec_id")
-    lex = ids.select(F.col("vec_id").alias("task_id")).join(ids, F.expr("vec_id > task_id and vec_id <= task_id + 2")).select("task_id", name("vec_id").alias("name"), F.lit("p").alias("path"), F.row_number().over(Window.partitionBy("task_id").orderBy("vec_id")).alias("place"))
+    lex = ids.select(F.col("vec_id").alias("task_id"), F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2)).alias("vec_id")).join(ids, "vec_id").select("task_id", name("vec_id").alias("name"), F.lit("p").alias("path"), F.row_number().over(Window.partitionBy("task_id").orderBy("vec_id")).alias("place"))
     return rank.hybrid(lex, sem)
 
 

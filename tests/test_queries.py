@@ -38,3 +38,9 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert sorted(tuple(norm(r[i]) for i in at) for r in found.fetchall()) == rows
+
+
+def test_hybrid_merge_joins_by_equal_keys(spark):
+    """No row is laid beside all others outside the vectors' tiles."""
+    plan = QUERIES["hybrid_merge"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
