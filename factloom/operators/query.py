@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.confidence import effective
 from factloom.operators.merge import Graph
+from factloom.plans.tables import BROADCAST_ROWS, spread
 
 FLOOR, LIMIT, DOSSIER = 0.5, 50, 200
 _COLUMNS = ("fact_id", "subject_id", "subject_kind", "subject_name", "subject_repo", "predicate", "object_id", "object_kind", "object_name", "object_lit", "confidence", "extractor", "valid_from", "valid_to")
@@ -20,10 +21,17 @@ def holds(as_of: Column | None) -> Column:
 
 
 def named(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Facts with the names, kinds and repos of their ends. A fact without a subject entity is left out; an object may be a literal."""
+    """Facts with the names, kinds and repos of their ends. A fact without a subject entity is left out; an object may be a literal.
+
+    Facts without an object are joined by a key of their own, so that they don't gather in one task.
+    """
+    n = max(facts.count(), entities.count())
     s = entities.select(F.col("entity_id").alias("subject_id"), F.col("kind").alias("subject_kind"), F.col("name").alias("subject_name"), F.col("repo").alias("subject_repo"))
     o = entities.select(F.col("entity_id").alias("object_id"), F.col("kind").alias("object_kind"), F.col("name").alias("object_name"))
-    return facts.join(s, "subject_id").join(o, "object_id", "left")
+    known = spread(facts, n, "subject_id").join(spread(s, n, "subject_id"), "subject_id")
+    keyed = known.withColumn("object_key", F.coalesce("object_id", F.xxhash64("fact_id", "subject_id")))
+    found = spread(keyed, n, "object_key").join(spread(o.withColumnRenamed("object_id", "o_id"), n, "o_id"), F.expr("object_key = o_id and object_id is not null"), "left")
+    return found.drop("object_key", "o_id")
 
 
 def query_facts(graph: Graph, *, subject: str | None = None, predicate: str | None = None, obj: str | None = None, kind: str | None = None, repo: str | None = None, subject_id: int | None = None, object_id: int | None = None, min_confidence: float = FLOOR, as_of: Column | None = None, decay_at: Column | None = None, limit: int | None = LIMIT) -> DataFrame:
@@ -51,11 +59,14 @@ def query_facts(graph: Graph, *, subject: str | None = None, predicate: str | No
     rows = rows.select(*_COLUMNS)
     if limit is not None:
         rows = rows.orderBy(F.col("confidence").desc(), F.col("valid_from").desc(), "fact_id").limit(limit)
-    return with_sources(rows, graph.provenance)
+    return with_sources(rows, graph.provenance, limit is not None and limit <= BROADCAST_ROWS)
 
 
-def with_sources(rows: DataFrame, provenance: DataFrame) -> DataFrame:
-    refs = provenance.join(rows.select("fact_id").distinct(), "fact_id", "left_semi").groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("prov_id", "source_ref"))), lambda x: x.source_ref).alias("sources"))
+def with_sources(rows: DataFrame, provenance: DataFrame, few: bool = False) -> DataFrame:
+    """``rows`` with their sources; ``few`` of them are sent to where the provenance is."""
+    ids = rows.select("fact_id").distinct()
+    told = provenance.join(F.broadcast(ids), "fact_id", "left_semi") if few else provenance.join(ids, "fact_id", "left_semi")
+    refs = told.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("prov_id", "source_ref"))), lambda x: x.source_ref).alias("sources"))
     return rows.join(refs, "fact_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 

@@ -4,9 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import assist, merge, rank, semantic
+from factloom.operators import assist, merge, query, rank, semantic
 from factloom.operators.store import Store, empty
-from factloom.plans import pipeline, rpc
+from factloom.plans import pipeline, rpc, tables
 from factloom.plans.tables import cut, numbered
 from factloom.schemas import CANDIDATES
 from factloom.streaming.refresh import only_one, refresh
@@ -142,6 +142,31 @@ def test_cosine_reads_a_bounded_part_a_task(spark, monkeypatch):
     assert seen == [100] * 4
 
 
+@pytest.fixture
+def shuffled_joins(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_facts_without_object_dont_gather_in_one_task(spark, shuffled_joins, monkeypatch):
+    ents = spark.range(4000).selectExpr("id as entity_id", "'k' as kind", "concat('n', id) as name", "cast(null as string) as repo")
+    facts = spark.range(4000).selectExpr("id as fact_id", "id as subject_id", "if(id % 10 = 0, id + 1, null) as object_id")
+    rows = query.named(facts, ents)
+    assert rows.count() == 4000 and rows.where("object_name is not null").count() == 400
+    assert rows.where("object_id is not null and object_name <> concat('n', object_id)").count() == 0
+    assert largest_task(rows) < 1500
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    assert largest_task(query.named(facts, ents)) < 200  # more rows have more tasks
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
     assert [(r.x, r.n) for r in numbered(df, "n", "x", after=5).orderBy("x").collect()] == [(k, k + 6) for k in range(100)]
