@@ -65,7 +65,7 @@ def query_facts(graph: Graph, *, subject: str | None = None, predicate: str | No
 def with_sources(rows: DataFrame, provenance: DataFrame, few: bool = False) -> DataFrame:
     """``rows`` with their sources; ``few`` of them are sent to where the provenance is."""
     ids = rows.select("fact_id").distinct()
-    told = provenance.join(F.broadcast(ids), "fact_id", "left_semi") if few else provenance.join(ids, "fact_id", "left_semi")
+    told = provenance.join(F.broadcast(ids), "fact_id", "left_semi") if few else spread(provenance, provenance.count(), "fact_id").join(ids, "fact_id", "left_semi")
     refs = told.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("prov_id", "source_ref"))), lambda x: x.source_ref).alias("sources"))
     return rows.join(refs, "fact_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 

@@ -167,6 +167,14 @@ def test_facts_without_object_dont_gather_in_one_task(spark, shuffled_joins, mon
     assert largest_task(query.named(facts, ents)) < 200  # more rows have more tasks
 
 
+def test_sources_of_many_facts_are_found_in_small_tasks(spark, shuffled_joins, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    told = spark.range(8000).selectExpr("id as prov_id", "id div 2 as fact_id", "concat('s', id) as source_ref")
+    rows = query.with_sources(spark.range(4000).selectExpr("id as fact_id"), told)
+    assert rows.where("sources = array(concat('s', fact_id * 2), concat('s', fact_id * 2 + 1))").count() == 4000
+    assert largest_task(rows) < 200
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
     assert [(r.x, r.n) for r in numbered(df, "n", "x", after=5).orderBy("x").collect()] == [(k, k + 6) for k in range(100)]
