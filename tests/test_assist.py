@@ -175,6 +175,14 @@ def test_sources_of_many_facts_are_found_in_small_tasks(spark, shuffled_joins, m
     assert largest_task(rows) < 200
 
 
+def test_key_of_a_fact_without_object_is_no_entity(spark):
+    """Even if an entity has that number, a fact without an object has none."""
+    key = spark.range(1).select(F.xxhash64(F.lit(5).cast("long"), F.lit(1).cast("long"))).first()[0]
+    ents = spark.createDataFrame([(1, "order", "a", None), (key, "nation", "b", None)], "entity_id long, kind string, name string, repo string")
+    facts = spark.createDataFrame([(5, 1, None), (6, 1, key)], "fact_id long, subject_id long, object_id long")
+    assert {(r.fact_id, r.object_kind) for r in query.named(facts, ents).collect()} == {(5, None), (6, "nation")}
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
     assert [(r.x, r.n) for r in numbered(df, "n", "x", after=5).orderBy("x").collect()] == [(k, k + 6) for k in range(100)]
