@@ -2,8 +2,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import cochange, derive
+from factloom.plans import tables
 from factloom.sources import changes
 
 
@@ -101,3 +103,16 @@ def test_facts_go_both_ways_for_code_only(spark):
     rows = got(cochange.facts(cochange.code_only(pairs)), "subject", "object", "confidence")
     assert rows == {("a.py", "b.py", 0.7), ("b.py", "a.py", 0.7)}
     assert cochange.facts(pairs, cap=2).count() == 2  # a pair stays whole
+
+
+def test_pairs_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Ten times the groups make ten times the tasks, and no more rows in any."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for groups in (500, 5000):
+        rows = spark.range(groups).selectExpr("id as grp", "explode(array(id, id + 1, id + 1, null)) as item")
+        pairs = cochange.pairs(rows, 1)
+        assert pairs.count() == pairs.where("b = a + 1 and support = 1").count() == groups
+        assert pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100
+    spark.conf.set("spark.sql.adaptive.enabled", kept)
