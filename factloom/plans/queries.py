@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
 from factloom.operators import cochange, derive, entities, health, merge, query, rank, semantic
+from factloom.plans.tables import spread
 from factloom.sources import changes, code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,7 +189,11 @@ def entity_upsert_backfill(spark, sf_dir):
 @registered("SELECT DISTINCT 'supplied-by' AS predicate, p_name AS src, s_name AS dst, 0.98::DOUBLE AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_name <> '' AND p_name <> ''")
 def inverse_edges(spark, sf_dir):
     l, s, p = (t(spark, sf_dir, x) for x in ("lineitem", "supplier", "part"))
-    edges = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).where("s_name <> '' and p_name <> ''").select(F.lit("supplies").alias("predicate"), F.col("s_name").alias("src"), F.col("p_name").alias("dst"), F.lit(None).cast("string").alias("repo")).distinct()
+    rows = l.count()
+    known = spread(l, rows, "l_suppkey").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    known = spread(known, rows, "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).where("s_name <> '' and p_name <> ''")
+    edges = known.select(F.lit("supplies").alias("predicate"), F.col("s_name").alias("src"), F.col("p_name").alias("dst"), F.lit(None).cast("string").alias("repo"))
+    edges = spread(edges, rows, "src", "dst").distinct()
     return derive.inverse(edges, {"supplies": "supplied-by"}).select("predicate", "src", "dst", "confidence").distinct()
 
 

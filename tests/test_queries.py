@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from factloom.plans import constructed  # noqa: F401 - registers its queries
+from factloom.plans import tables
 from factloom.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -44,3 +45,9 @@ def test_hybrid_merge_joins_by_equal_keys(spark):
     """No row is laid beside all others outside the vectors' tiles."""
     plan = QUERIES["hybrid_merge"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_inverse_edges_has_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert QUERIES["inverse_edges"](spark, DIR).rdd.getNumPartitions() >= lines // 100
